@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_training, line_quality, line_rules
+from . import crf_training, line_quality, line_rules, partenum
 from ._io import read
 
 
@@ -21,5 +21,9 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (line_quality.fold() == line_quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_rules, op4_line_quality)}
+def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.link_components(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_rules, op4_line_quality, op5_partenum)}
 SQL: dict[str, str] = {}
