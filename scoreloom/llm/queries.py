@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_training, line_quality, line_rules, partenum
-from ._io import read
+from . import crf_training, hash_tree, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
+from ._io import fresh, read
 
 
 def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,30 @@ def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.link_components(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_rules, op4_line_quality, op5_partenum)}
+def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shard(read(spark, sf_dir, "documents"), 8)
+
+
+def op8_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = segment_bpe.decode(segment_bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = poisson_mix.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "source", "text", F.round("rate", 6).alias("rate"), "n_copies", "copy", F.round("shuffle_key", 9).alias("shuffle_key"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    own = F.col("payload")
+    return warc.captures(spark, path).select("page_id", F.coalesce(F.octet_length(own).cast("long"), "size").alias("payload_bytes"), F.coalesce(F.sha1(own.cast("binary")), "digest").alias("payload_digest"), "record_type", "refers_to", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_rules, op4_line_quality, op5_partenum, op7_hash_tree, op8_segment_bpe, op9_poisson_mix, op10_warc)}
 SQL: dict[str, str] = {}
