@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_training, hash_tree, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
+from . import blob_ledger, crf_training, hash_tree, license_search, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
 from ._io import fresh, read
 
 
@@ -14,6 +14,15 @@ def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(docs, crf_training.fit_lines(docs, read(spark, sf_dir, "labels")))
 
 
+def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = fresh(spark, "ledger")
+    paths = blob_ledger.update(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), ledger)
+    out = blob_ledger.by_path(paths, blob_ledger.by_blob(blob_ledger.findings(spark, ledger)))
+    base = F.filter("spans", lambda x: x["rule"].isin(*blob_ledger.BASE))
+    counts = [F.size(F.filter(F.transform("spans", lambda x: x["rule"]), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in blob_ledger.BASE]
+    return out.select(F.col("path").alias("doc_id"), *counts, F.sha2(blob_ledger.joined(base), 256).alias("base_sha256"), blob_ledger.joined(F.col("spans")).alias("spans"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = crf_training.fit_lines(docs, read(spark, sf_dir, "labels"), line_quality.fold() != line_quality.HELD_OUT)
@@ -25,6 +34,12 @@ def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.link_components(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op6_license_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_search.search(read(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string"), x["errors"].cast("string"))), ",")
+    return out.withColumn("spans", spans)
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard(read(spark, sf_dir, "documents"), 8)
 
@@ -50,5 +65,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(spark, path).select("page_id", F.coalesce(F.octet_length(own).cast("long"), "size").alias("payload_bytes"), F.coalesce(F.sha1(own.cast("binary")), "digest").alias("payload_digest"), "record_type", "refers_to", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_rules, op4_line_quality, op5_partenum, op7_hash_tree, op8_segment_bpe, op9_poisson_mix, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_rules, op3_blob_ledger, op4_line_quality, op5_partenum, op6_license_search, op7_hash_tree, op8_segment_bpe, op9_poisson_mix, op10_warc)
+}
 SQL: dict[str, str] = {}
