@@ -8,8 +8,9 @@ signatures are all pairs of cells of all parts, and linked sets share one.
 
 Equal sets are one node. Each block of texts and then each bucket of signatures ties the
 nodes of a signature to its smallest one, so a signature costs one entry a block and no
-task needs the pairs of a group. Ties are checked exactly, links merged into components,
-and only what still lies in different components is compared further, in widening rounds.
+task needs the pairs of a group. What the ties hold together, directly or through others,
+is compared exactly: small groups as they are, larger ones in pairs of bounded blocks of
+equal or neighbouring size bands. A task gives back only links that span what it linked.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -234,47 +235,88 @@ def _elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return docs.join(nodes, "doc_id").select("node", "text").mapInArrow(run, "node long, elements binary")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of each pair, by the sizes of intersection and union."""
+#: Sets, and elements of sets, that a block holds about; a task compares two blocks.
+BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 21
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    linked.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    x, y = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def _shared(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(key, node) of the members' signatures."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("elements")]
-            sizes = np.array([len(x) for x in packed], np.int64)
-            key, owner = signatures(np.concatenate(packed) if packed else np.zeros(0, np.uint64), sizes, percent)
-            node = batch.column("node").to_numpy()[owner]
-            for at in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000].view(np.int64)), pa.array(node[at : at + 100_000])], ["key", "node"])
-
-    return sets.join(members, "node", "left_semi").mapInArrow(run, "key long, node long")
 
+def _dealt(members: DataFrame, percent: int) -> DataFrame:
+    """(node, whole, low, i, high, j) of each pair of blocks that a node is part of. members: (node, whole, size).
 
-def _split(labels: DataFrame, coarse: DataFrame) -> DataFrame:
-    """Nodes of coarse components (sharing signatures, through others) that hold three nodes or more and several components."""
-    both = labels.join(coarse.select("node", F.col("label").alias("whole")), "node")
-    mixed = both.groupBy("whole").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low != high")
-    return both.join(mixed.select("whole"), "whole", "left_semi").select("node")
+    What fits into two blocks stays together. Larger groups are cut by bands of sizes, as only
+    equal and neighbouring bands hold linked sets, and the bands into blocks by a hash.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int")
+    wholes = members.groupBy("whole").agg(blocks.alias("n")).where("n > 2").select("whole")
+    small = members.join(wholes, "whole", "left_anti").select("node", "whole", *[F.lit(0).alias(x) for x in ("low", "i", "high", "j")])
+    band = F.floor(F.ln(F.col("size").cast("double")) / float(np.log(100 / percent))).cast("int")
+    large = members.join(wholes, "whole", "left_semi").withColumn("band", band)
+    # as many rows as bands of large groups
+    counts = saved(large.groupBy("whole", "band").agg(blocks.alias("n")), "partenum-bands")
+
+    def beside(step: int, name: str) -> DataFrame:
+        return counts.select("whole", (F.col("band") - step).alias("band"), F.col("n").alias(name))
+
+    large = large.join(counts, ["whole", "band"]).join(beside(1, "n_above"), ["whole", "band"], "left").join(beside(-1, "n_below"), ["whole", "band"], "left")
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+
+    def key(low, i, high, j):
+        return F.struct(low.cast("int").alias("low"), i.cast("int").alias("i"), high.cast("int").alias("high"), j.cast("int").alias("j"))
+
+    def others(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    b, k = F.col("band"), F.col("block")
+    own = F.transform(others("n"), lambda x: key(b, F.least(k, x), b, F.greatest(k, x)))
+    above = F.transform(others("n_above"), lambda x: key(b, k, b + 1, x))
+    below = F.transform(others("n_below"), lambda x: key(b - 1, x, b, k))
+    return small.unionByName(large.select("node", "whole", F.explode(F.concat(own, above, below)).alias("x")).select("node", "whole", "x.*"))
+
+
+def _overlaps(packed: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairs' intersections. Elements of one set only never count."""
+    n, sizes = len(packed), [len(x) for x in packed]
+    flat, owner = np.concatenate(packed), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.r_[True, flat[1:] != flat[:-1]]
+    place = np.cumsum(first) - 1
+    shared = np.bincount(place)[place] > 1
+    owner, place = owner[shared], place[shared]
+    _, place = np.unique(place, return_inverse=True)
+    out = np.zeros((n, n), np.float32)
+    wide = max(1, (1 << 22) // n)
+    cuts = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else 0) + wide + 1, wide))
+    for t, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if z > a:
+            cells = np.zeros((n, min(wide, int(place[z - 1]) - t * wide + 1)), np.float32)
+            cells[owner[a:z], place[a:z] - t * wide] = 1
+            out += cells @ cells.T
+    return out
+
+
+def _linked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that hold together what is linked within each pair of blocks: each set with the smallest it reaches there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node = table.column("node").to_numpy()
+        node, once = np.unique(node, return_index=True)
+        column = table.column("elements")
+        packed = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in once]
+        sizes = np.array([len(x) for x in packed])
+        common = _overlaps(packed).astype(np.int64)
+        near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        root = np.arange(len(node))
+        while True:  # smallest place reached, over links and then over places reached
+            low = np.where(near, root[None, :], len(node)).min(1)
+            low = np.minimum(low, root)[np.minimum(low, root)]
+            if (low == root).all():
+                break
+            root = low
+        tied = root != np.arange(len(node))
+        return pa.table({"a": pa.array(node[tied]), "b": pa.array(node[root[tied]])})
+
+    return dealt.join(sets, "node").groupBy("whole", "low", "i", "high", "j").applyInArrow(run, "a long, b long")
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -291,49 +333,21 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with _shuffles_cleaned(spark):
         sized = saved(_sets(docs, words), "partenum-sized")
         ties = saved(_tied(docs.where("doc_id is not null"), words, percent), "partenum-ties")
-        known = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        nodes = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
+        known = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
         classes = saved(known, "partenum-classes")
-        sets = saved(_elements(docs, nodes.join(classes, "node"), words), "partenum-sets")
-        labels = saved(sets.select("node").distinct().withColumn("label", F.col("node")), "partenum-labels")
-        coarse = saved(labels, "partenum-coarse")
-        # each node with its smallest tie first; then what ties different components
-        done = saved(_checked(ties.groupBy("a").agg(F.min("b").alias("b")), sets, percent), "partenum-checked")
-        labels = merged(labels, done.where("linked").select("a", "b"))
-
-        def apart(pairs: DataFrame) -> DataFrame:
-            la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-            return pairs.join(la, "a").join(lb, "b").where("la != lb").select("a", "b")
-
-        more = saved(_checked(apart(ties.join(done, ["a", "b"], "left_anti")), sets, percent), "partenum-checked")
-        labels = merged(labels, more.where("linked").select("a", "b"))
-        tried = done.select("a", "b").union(more.select("a", "b"))
-        coarse = merged(coarse, ties)
-        left = saved(_split(labels, coarse), "partenum-left")
-        if not left.isEmpty():
-            keys = _shared(sets, left, percent)
-            several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-            ranked = keys.join(several, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-            ranked = saved(ranked, "partenum-ranked")
-            width = 1
-            longest = ranked.agg(F.max("n")).first()[0] or 0
-            while width < longest:
-                # members of a signature `width` to 2 * width - 1 places apart, where its members still lie in several components
-                own = ranked.where(F.col("n") > width).join(labels, "node")
-                open_ = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-                own = own.join(open_, "key", "left_semi")
-                reach = F.sequence(F.col("rank") + width, F.least(F.col("rank") + (2 * width - 1), F.col("n")))
-                ahead = own.where(F.col("rank") + width <= F.col("n")).select("key", F.explode(reach).alias("rank"), F.col("node").alias("b"), F.col("label").alias("lb"))
-                pairs = own.join(ahead, ["key", "rank"]).where("label != lb").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-                new = saved(_checked(pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "partenum-checked")
-                labels = merged(labels, new.where("linked").select("a", "b"))
-                tried = tried.union(new.select("a", "b"))
-                width *= 2
-            drop(ranked)
+        nodes = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
+        start = saved(nodes.withColumn("label", F.col("node")), "partenum-labels")
+        # what shares signatures, directly or through others
+        coarse = merged(saved(start, "partenum-coarse"), ties)
+        members = coarse.select("node", F.col("label").alias("whole")).join(classes, "node").select("node", "whole", "size", "doc_id")
+        members = saved(members, "partenum-members")
+        sets = saved(_elements(docs, members.select("node", "doc_id"), words), "partenum-sets")
+        links = saved(_linked(_dealt(members.select("node", "whole", "size"), percent), sets, percent), "partenum-links")
+        labels = merged(start, links)
         smallest = labels.join(classes, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = labels.join(smallest, "label").select("node", "component_id")
         result = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
         result = saved(result, "partenum-result")
-        for old in (ties, classes, sets, labels, coarse, done, more, left):
+        for old in (ties, classes, coarse, members, sets, links, labels):
             drop(old)
     return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
