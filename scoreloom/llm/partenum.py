@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -351,3 +351,13 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         for old in (ties, classes, coarse, members, sets, links, labels):
             drop(old)
     return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, whose doc_id is the smallest of its component; one of rows repeated in doc_id and text. Rows without a doc_id stay."""
+    found = link_components(docs, words, percent)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    own = own.withColumn("__again", F.row_number().over(again)).where("__again = 1").select(*docs.columns)
+    return own.unionByName(docs.where("doc_id is null"))

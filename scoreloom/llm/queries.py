@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, crf_training, hash_tree, license_search, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
+from . import anisotropic, blob_ledger, crf_training, hash_tree, license_search, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
 from ._io import fresh, read
 
 
@@ -14,6 +14,10 @@ def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(docs, crf_training.fit_lines(docs, read(spark, sf_dir, "labels")))
 
 
+def op2_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = fresh(spark, "ledger")
     paths = blob_ledger.update(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), ledger)
@@ -67,6 +71,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_rules, op3_blob_ledger, op4_line_quality, op5_partenum, op6_license_search, op7_hash_tree, op8_segment_bpe, op9_poisson_mix, op10_warc)
+    for f in (op1_line_rules, op2_anisotropic, op3_blob_ledger, op4_line_quality, op5_partenum, op6_license_search, op7_hash_tree, op8_segment_bpe, op9_poisson_mix, op10_warc)
 }
 SQL: dict[str, str] = {}
