@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import saved
+
 #: Weight of a source of s code points: s ** POWER, over the sum of all.
 POWER = 0.5
 SEED = "mix-1"
@@ -58,8 +60,8 @@ def with_steps(rated: DataFrame) -> DataFrame:
 
 
 def counted(docs: DataFrame, rated: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with rate and n_copies. The table of sources is joined on source (null-safe); Spark broadcasts it by its size or splits a hot source."""
-    sources = with_steps(rated).withColumnRenamed("source", "__source")
+    """docs with rate and n_copies. The table of sources is written first, so Spark knows its size: under the broadcast threshold docs stay where they are, beyond it a hot source is split."""
+    sources = saved(with_steps(rated), "mix-sources").withColumnRenamed("source", "__source")
     joined = docs.join(sources, F.col("source").eqNullSafe(F.col("__source")))
     below = F.size(F.filter("steps", lambda c: c < F.col("__u")))
     return joined.withColumn("__u", unit(seed, F.col("doc_id"))).withColumn("n_copies", F.when(F.col("rate") > 0, F.when(below > 0, F.col("low") + below).otherwise(F.col("low"))).otherwise(0).cast("int")).drop("__source", "__u", "steps", "low")
