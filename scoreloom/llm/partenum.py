@@ -9,8 +9,9 @@ signatures are all pairs of cells of all parts, and linked sets share one.
 Equal sets are one node. Each block of texts and then each bucket of signatures ties the
 nodes of a signature to its smallest one, so a signature costs one entry a block and no
 task needs the pairs of a group. What the ties hold together, directly or through others,
-is compared exactly: small groups as they are, larger ones in pairs of bounded blocks of
-equal or neighbouring size bands. A task gives back only links that span what it linked.
+is compared exactly: small groups as they are; larger ones first fall apart where sketches
+rule links out, and what stays large is compared in pairs of bounded blocks of equal or
+neighbouring size bands. A task gives back only links that span what it linked.
 """
 
 from __future__ import annotations
@@ -137,17 +138,30 @@ def _ids_schema(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+#: Bits of a set's sketch.
+SKETCH = 1024
+
+
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set SKETCH bits, each the parity of the elements hashed to it: sets differ in at least as many elements as their sketches in bits."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = (T.mix(elements + np.uint64(0x7F4A7C15)) >> np.uint64(54)).astype(np.int64)
+    bits = np.bincount(owner * SKETCH + place, minlength=len(sizes) * SKETCH) & 1
+    return np.packbits(bits.astype(bool).reshape(len(sizes), SKETCH), axis=1)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, size and node of each text's set; no node for an empty set."""
+    """doc_id, size, node and sketch of each text's set; no node for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in T.blocks(batch.column("text")):
                 elements, sizes = shingle_sets(block, words)
                 node = pa.array(digests(elements, sizes), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.rows.start, len(sizes)), pa.array(sizes), node], ["doc_id", "n_shingles", "node"])
+                sketch = pa.array([x.tobytes() for x in sketches(elements, sizes)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.rows.start, len(sizes)), pa.array(sizes), node, sketch], ["doc_id", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {_ids_schema(docs)}, n_shingles long, node long")
+    return docs.mapInArrow(run, f"doc_id {_ids_schema(docs)}, n_shingles long, node long, sketch binary")
 
 
 def _tied(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -239,19 +253,29 @@ def _elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 21
 
 
-def _dealt(members: DataFrame, percent: int) -> DataFrame:
+def _blocks(by_elements: bool):
+    """Number of blocks of a group."""
+    n = F.ceil(F.count("*") / BLOCK_SETS)
+    return (F.greatest(n, F.ceil(F.sum("size") / BLOCK_ELEMENTS)) if by_elements else n).cast("int")
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """Groups (whole) of more than two blocks."""
+    return members.groupBy("whole").agg(_blocks(True).alias("n")).where("n > 2").select("whole")
+
+
+def _dealt(members: DataFrame, percent: int, by_elements: bool = True) -> DataFrame:
     """(node, whole, low, i, high, j) of each pair of blocks that a node is part of. members: (node, whole, size).
 
     What fits into two blocks stays together. Larger groups are cut by bands of sizes, as only
     equal and neighbouring bands hold linked sets, and the bands into blocks by a hash.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int")
-    wholes = members.groupBy("whole").agg(blocks.alias("n")).where("n > 2").select("whole")
+    wholes = _large(members)
     small = members.join(wholes, "whole", "left_anti").select("node", "whole", *[F.lit(0).alias(x) for x in ("low", "i", "high", "j")])
     band = F.floor(F.ln(F.col("size").cast("double")) / float(np.log(100 / percent))).cast("int")
     large = members.join(wholes, "whole", "left_semi").withColumn("band", band)
     # as many rows as bands of large groups
-    counts = saved(large.groupBy("whole", "band").agg(blocks.alias("n")), "partenum-bands")
+    counts = saved(large.groupBy("whole", "band").agg(_blocks(by_elements).alias("n")), "partenum-bands")
 
     def beside(step: int, name: str) -> DataFrame:
         return counts.select("whole", (F.col("band") - step).alias("band"), F.col("n").alias(name))
@@ -294,29 +318,61 @@ def _overlaps(packed: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _roots(near: np.ndarray) -> np.ndarray:
+    """The smallest place that each place reaches."""
+    n = len(near)
+    root = np.arange(n)
+    while True:
+        low = np.where(near, root[None, :], n).min(1)
+        low = np.minimum(low, root)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _spanning(node: np.ndarray, near: np.ndarray) -> pa.Table:
+    root = _roots(near)
+    tied = root != np.arange(len(node))
+    return pa.table({"a": pa.array(node[tied]), "b": pa.array(node[root[tied]])})
+
+
+_PAIR = ("whole", "low", "i", "high", "j")
+
+
 def _linked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold together what is linked within each pair of blocks: each set with the smallest it reaches there."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        node = table.column("node").to_numpy()
-        node, once = np.unique(node, return_index=True)
+        node, once = np.unique(table.column("node").to_numpy(), return_index=True)
         column = table.column("elements")
         packed = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in once]
         sizes = np.array([len(x) for x in packed])
         common = _overlaps(packed).astype(np.int64)
-        near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-        root = np.arange(len(node))
-        while True:  # smallest place reached, over links and then over places reached
-            low = np.where(near, root[None, :], len(node)).min(1)
-            low = np.minimum(low, root)[np.minimum(low, root)]
-            if (low == root).all():
-                break
-            root = low
-        tied = root != np.arange(len(node))
-        return pa.table({"a": pa.array(node[tied]), "b": pa.array(node[root[tied]])})
+        return _spanning(node, 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+
+    return dealt.join(sets, "node").groupBy(*_PAIR).applyInArrow(run, "a long, b long")
+
+
+def _possible(dealt: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Like _linked, of all pairs whose sizes and sketches don't rule out a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, once = np.unique(table.column("node").to_numpy(), return_index=True)
+        size = table.column("size").to_numpy()[once]
+        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)[once]
+        near = np.zeros((len(node), len(node)), bool)
+        for at in range(0, len(node), 64):
+            part = slice(at, at + 64)
+            apart = np.bitwise_count(words[part, None] ^ words[None]).sum(2, dtype=np.int64)
+            both = size[part, None] + size[None]
+            near[part] = (100 + percent) * apart <= (100 - percent) * both
+            near[part] &= 100 * np.minimum(size[part, None], size[None]) >= percent * np.maximum(size[part, None], size[None])
+        return _spanning(node, near)
 
-    return dealt.join(sets, "node").groupBy("whole", "low", "i", "high", "j").applyInArrow(run, "a long, b long")
+    return dealt.join(sketched, "node").groupBy(*_PAIR).applyInArrow(run, "a long, b long")
 
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -334,6 +390,8 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sized = saved(_sets(docs, words), "partenum-sized")
         ties = saved(_tied(docs.where("doc_id is not null"), words, percent), "partenum-ties")
         known = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+        # equal sets have equal sketches
+        sketched = sized.where("node is not null and doc_id is not null").select("node", "doc_id", "sketch")
         classes = saved(known, "partenum-classes")
         nodes = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
         start = saved(nodes.withColumn("label", F.col("node")), "partenum-labels")
@@ -341,6 +399,15 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         coarse = merged(saved(start, "partenum-coarse"), ties)
         members = coarse.select("node", F.col("label").alias("whole")).join(classes, "node").select("node", "whole", "size", "doc_id")
         members = saved(members, "partenum-members")
+        wholes = _large(members.select("whole", "size"))
+        large = saved(members.join(wholes, "whole", "left_semi"), "partenum-large")
+        if not large.isEmpty():
+            # large groups fall apart where sketches rule links out
+            possible = large.select("node", "size", "doc_id").join(sketched, ["node", "doc_id"]).select("node", "size", "sketch")
+            tied = saved(_possible(_dealt(large.select("node", "whole", "size"), percent, by_elements=False), possible, percent), "partenum-possible")
+            finer = merged(saved(large.select("node", F.col("node").alias("label")), "partenum-finer"), tied)
+            finer = large.select("node", "size", "doc_id").join(finer, "node").select("node", F.col("label").alias("whole"), "size", "doc_id")
+            members = saved(members.join(wholes, "whole", "left_anti").select("node", "whole", "size", "doc_id").unionByName(finer), "partenum-members")
         sets = saved(_elements(docs, members.select("node", "doc_id"), words), "partenum-sets")
         links = saved(_linked(_dealt(members.select("node", "whole", "size"), percent), sets, percent), "partenum-links")
         labels = merged(start, links)
@@ -348,9 +415,9 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         named = labels.join(smallest, "label").select("node", "component_id")
         result = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
         result = saved(result, "partenum-result")
-        for old in (ties, classes, coarse, members, sets, links, labels):
+        for old in (ties, classes, coarse, members, large, sets, links, labels):
             drop(old)
-    return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
