@@ -9,9 +9,8 @@ signatures are all pairs of cells of all parts, and linked sets share one.
 Equal sets are one node. Each block of texts and then each bucket of signatures ties the
 nodes of a signature to its smallest one, so a signature costs one entry a block and no
 task needs the pairs of a group. What the ties hold together, directly or through others,
-is compared exactly: small groups as they are; larger ones first fall apart where sketches
-rule links out, and what stays large is compared in pairs of bounded blocks of equal or
-neighbouring size bands. A task gives back only links that span what it linked.
+falls apart where sizes and sketches rule links out, and the rest is compared exactly: small
+groups as they are, larger ones in pairs of bounded blocks of equal or neighbouring size bands. A task gives back only links that span what it linked.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import contextlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -138,16 +138,25 @@ def _ids_schema(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-#: Bits of a set's sketch.
-SKETCH = 1024
+#: Bits of the smallest sketch; sets above SKETCH_STEPS elements have 4 and 16 times as many.
+SKETCH, SKETCH_STEPS = 1024, (1000, 4000)
 
 
-def sketches(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each set SKETCH bits, each the parity of the elements hashed to it: sets differ in at least as many elements as their sketches in bits."""
+def sketches(elements: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set some bits, each the parity of the elements hashed to it: sets differ in at least as many elements as their sketches in bits. A longer sketch folds into a shorter one by exclusive or."""
+    place = (T.mix(elements + np.uint64(0x7F4A7C15)) >> np.uint64(40)).astype(np.int64)
+    wide = SKETCH * np.array([1, 4, 16])[np.searchsorted(SKETCH_STEPS, sizes, side="right")]
+    base = np.r_[0, np.cumsum(wide)]
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = (T.mix(elements + np.uint64(0x7F4A7C15)) >> np.uint64(54)).astype(np.int64)
-    bits = np.bincount(owner * SKETCH + place, minlength=len(sizes) * SKETCH) & 1
-    return np.packbits(bits.astype(bool).reshape(len(sizes), SKETCH), axis=1)
+    bits = np.bincount(base[owner] + place % wide[owner], minlength=base[-1]) & 1
+    packed, cut = np.packbits(bits.astype(bool)).tobytes(), base // 8
+    return [packed[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _folded(sketch: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest."""
+    words = min(map(len, sketch)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0) for x in sketch])
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -158,7 +167,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             for block in T.blocks(batch.column("text")):
                 elements, sizes = shingle_sets(block, words)
                 node = pa.array(digests(elements, sizes), mask=sizes == 0)
-                sketch = pa.array([x.tobytes() for x in sketches(elements, sizes)], pa.binary())
+                sketch = pa.array(sketches(elements, sizes), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.rows.start, len(sizes)), pa.array(sizes), node, sketch], ["doc_id", "n_shingles", "node", "sketch"])
 
     return docs.mapInArrow(run, f"doc_id {_ids_schema(docs)}, n_shingles long, node long, sketch binary")
@@ -233,8 +242,42 @@ def _tied(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def _elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and its set (packed 64-bit hashes), for the nodes (node, doc_id): one text each is read again."""
+#: Words of 64 bits in the filter of doc_ids; it is of this size whatever the input.
+FILTER_WORDS = 1 << 18
+
+
+def _bits(hashed: np.ndarray) -> np.ndarray:
+    """Four bits of the filter for each hash."""
+    return np.stack([T.mix(hashed.view(np.uint64) + np.uint64(j)) % np.uint64(64 * FILTER_WORDS) for j in range(4)])
+
+
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most rows whose doc_id is not in ids: a Bloom filter of fixed size goes to all tasks, so that few texts are dealt out by the join that decides. With too many ids it lets all pass."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        for batch in batches:
+            at = _bits(batch.column("h").to_numpy()).ravel()
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        full = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words[full].view(np.int64))], ["word", "bits"])
+
+    met = ids.select(F.xxhash64("doc_id").alias("h")).mapInArrow(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[met.column("word").to_numpy()] = met.column("bits").to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def might(h: pd.Series) -> pd.Series:
+        at = _bits(h.to_numpy())
+        return pd.Series(((sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(0))
+
+    return docs.where(might(F.xxhash64("doc_id")))
+
+
+def _elements(docs: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
+    """dealt (node, doc_id, whole, low, i, high, j) with the nodes' sets as packed 64-bit hashes: one text a node is read again."""
+    keys = ["node", *_PAIR]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,13 +285,15 @@ def _elements(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 elements, sizes = shingle_sets(block, words)
                 cut, data = np.r_[0, np.cumsum(sizes)] * 8, elements.tobytes()
                 packed = [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                same = digests(elements, sizes) == batch.column("node").slice(block.rows.start, len(sizes)).to_numpy()
-                out = pa.RecordBatch.from_arrays([batch.column("node").slice(block.rows.start, len(sizes)), pa.array(packed, pa.binary())], ["node", "elements"])
-                yield out.filter(pa.array(same))  # an id may stand on several texts
+                own = [batch.column(k).slice(block.rows.start, len(sizes)) for k in keys]
+                out = pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary())], [*keys, "elements"])
+                yield out.filter(pa.array(digests(elements, sizes) == own[0].to_numpy()))  # an id may stand on several texts
 
-    return docs.join(nodes, "doc_id").select("node", "text").mapInArrow(run, "node long, elements binary")
+    near = _among(docs, dealt.select("doc_id"))
+    return near.join(dealt, "doc_id").select(*keys, "text").mapInArrow(run, "node long, whole long, low int, i int, high int, j int, elements binary")
 
 
+_PAIR = ("whole", "low", "i", "high", "j")
 #: Sets, and elements of sets, that a block holds about; a task compares two blocks.
 BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 21
 
@@ -337,10 +382,7 @@ def _spanning(node: np.ndarray, near: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(node[tied]), "b": pa.array(node[root[tied]])})
 
 
-_PAIR = ("whole", "low", "i", "high", "j")
-
-
-def _linked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that hold together what is linked within each pair of blocks: each set with the smallest it reaches there."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -352,7 +394,7 @@ def _linked(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         common = _overlaps(packed).astype(np.int64)
         return _spanning(node, 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
 
-    return dealt.join(sets, "node").groupBy(*_PAIR).applyInArrow(run, "a long, b long")
+    return sets.groupBy(*_PAIR).applyInArrow(run, "a long, b long")
 
 
 def _possible(dealt: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
@@ -362,7 +404,8 @@ def _possible(dealt: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
         table = table.combine_chunks()
         node, once = np.unique(table.column("node").to_numpy(), return_index=True)
         size = table.column("size").to_numpy()[once]
-        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)[once]
+        sketch = table.column("sketch")
+        words = _folded([sketch[int(i)].as_py() for i in once])
         near = np.zeros((len(node), len(node)), bool)
         for at in range(0, len(node), 64):
             part = slice(at, at + 64)
@@ -399,23 +442,22 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         coarse = merged(saved(start, "partenum-coarse"), ties)
         members = coarse.select("node", F.col("label").alias("whole")).join(classes, "node").select("node", "whole", "size", "doc_id")
         members = saved(members, "partenum-members")
-        wholes = _large(members.select("whole", "size"))
-        large = saved(members.join(wholes, "whole", "left_semi"), "partenum-large")
-        if not large.isEmpty():
-            # large groups fall apart where sketches rule links out
-            possible = large.select("node", "size", "doc_id").join(sketched, ["node", "doc_id"]).select("node", "size", "sketch")
-            tied = saved(_possible(_dealt(large.select("node", "whole", "size"), percent, by_elements=False), possible, percent), "partenum-possible")
-            finer = merged(saved(large.select("node", F.col("node").alias("label")), "partenum-finer"), tied)
-            finer = large.select("node", "size", "doc_id").join(finer, "node").select("node", F.col("label").alias("whole"), "size", "doc_id")
-            members = saved(members.join(wholes, "whole", "left_anti").select("node", "whole", "size", "doc_id").unionByName(finer), "partenum-members")
-        sets = saved(_elements(docs, members.select("node", "doc_id"), words), "partenum-sets")
-        links = saved(_linked(_dealt(members.select("node", "whole", "size"), percent), sets, percent), "partenum-links")
+        # groups fall apart where sizes and sketches rule links out
+        possible = members.select("node", "size", "doc_id").join(sketched, ["node", "doc_id"]).select("node", "size", "sketch")
+        tied = saved(_possible(_dealt(members.select("node", "whole", "size"), percent, by_elements=False), possible, percent), "partenum-possible")
+        finer = merged(saved(members.select("node", F.col("node").alias("label")), "partenum-finer"), tied)
+        finer = saved(members.select("node", "size", "doc_id").join(finer, "node").select("node", F.col("label").alias("whole"), "size", "doc_id"), "partenum-members")
+        several = finer.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole")
+        finer = finer.join(several, "whole", "left_semi")
+        dealt = _dealt(finer.select("node", "whole", "size"), percent).join(finer.select("node", "doc_id"), "node")
+        dealt = saved(dealt, "partenum-dealt")
+        links = saved(_linked(_elements(docs, dealt, words), percent), "partenum-links")
         labels = merged(start, links)
         smallest = labels.join(classes, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = labels.join(smallest, "label").select("node", "component_id")
         result = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
         result = saved(result, "partenum-result")
-        for old in (ties, classes, coarse, members, large, sets, links, labels):
+        for old in (ties, classes, coarse, members, tied, dealt, links, labels):
             drop(old)
     return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
