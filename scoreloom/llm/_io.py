@@ -28,8 +28,15 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, **options) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: lineage ends there and a lost executor costs no rerun."""
+def saved(df: DataFrame, name: str, slim: str = "", **options) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: lineage ends there and a lost executor costs no rerun.
+
+    slim: rows of a few numbers, of which a few files a core are written at most: "light" if
+    little work makes them, "heavy" if much does, which then keeps its own tasks.
+    """
+    if slim:
+        files = max(16, 2 * df.sparkSession.sparkContext.defaultParallelism)
+        df = df.coalesce(files) if slim == "light" else df.repartition(files)
     path = fresh(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -320,7 +320,7 @@ def _dealt(members: DataFrame, percent: int, by_elements: bool = True) -> DataFr
     band = F.floor(F.ln(F.col("size").cast("double")) / float(np.log(100 / percent))).cast("int")
     large = members.join(wholes, "whole", "left_semi").withColumn("band", band)
     # as many rows as bands of large groups
-    counts = saved(large.groupBy("whole", "band").agg(_blocks(by_elements).alias("n")), "partenum-bands")
+    counts = saved(large.groupBy("whole", "band").agg(_blocks(by_elements).alias("n")), "partenum-bands", slim="light")
 
     def beside(step: int, name: str) -> DataFrame:
         return counts.select("whole", (F.col("band") - step).alias("band"), F.col("n").alias(name))
@@ -431,32 +431,32 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     with _shuffles_cleaned(spark):
         sized = saved(_sets(docs, words), "partenum-sized")
-        ties = saved(_tied(docs.where("doc_id is not null"), words, percent), "partenum-ties")
+        ties = saved(_tied(docs.where("doc_id is not null"), words, percent), "partenum-ties", slim="heavy")
         known = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
         # equal sets have equal sketches
         sketched = sized.where("node is not null and doc_id is not null").select("node", "doc_id", "sketch")
-        classes = saved(known, "partenum-classes")
+        classes = saved(known, "partenum-classes", slim="light")
         nodes = ties.select(F.col("a").alias("node")).union(ties.select("b")).distinct()
-        start = saved(nodes.withColumn("label", F.col("node")), "partenum-labels")
+        start = saved(nodes.withColumn("label", F.col("node")), "partenum-labels", slim="light")
         # what shares signatures, directly or through others
-        coarse = merged(saved(start, "partenum-coarse"), ties)
+        coarse = merged(saved(start, "partenum-coarse", slim="light"), ties)
         members = coarse.select("node", F.col("label").alias("whole")).join(classes, "node").select("node", "whole", "size", "doc_id")
-        members = saved(members, "partenum-members")
+        members = saved(members, "partenum-members", slim="light")
         # groups fall apart where sizes and sketches rule links out
         possible = members.select("node", "size", "doc_id").join(sketched, ["node", "doc_id"]).select("node", "size", "sketch")
-        tied = saved(_possible(_dealt(members.select("node", "whole", "size"), percent, by_elements=False), possible, percent), "partenum-possible")
-        finer = merged(saved(members.select("node", F.col("node").alias("label")), "partenum-finer"), tied)
-        finer = saved(members.select("node", "size", "doc_id").join(finer, "node").select("node", F.col("label").alias("whole"), "size", "doc_id"), "partenum-members")
+        tied = saved(_possible(_dealt(members.select("node", "whole", "size"), percent, by_elements=False), possible, percent), "partenum-possible", slim="heavy")
+        finer = merged(saved(members.select("node", F.col("node").alias("label")), "partenum-finer", slim="light"), tied)
+        finer = saved(members.select("node", "size", "doc_id").join(finer, "node").select("node", F.col("label").alias("whole"), "size", "doc_id"), "partenum-members", slim="light")
         several = finer.groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select("whole")
         finer = finer.join(several, "whole", "left_semi")
         dealt = _dealt(finer.select("node", "whole", "size"), percent).join(finer.select("node", "doc_id"), "node")
-        dealt = saved(dealt, "partenum-dealt")
-        links = saved(_linked(_elements(docs, dealt, words), percent), "partenum-links")
+        dealt = saved(dealt, "partenum-dealt", slim="light")
+        links = saved(_linked(_elements(docs, dealt, words), percent), "partenum-links", slim="heavy")
         labels = merged(start, links)
         smallest = labels.join(classes, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
         named = labels.join(smallest, "label").select("node", "component_id")
         result = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-        result = saved(result, "partenum-result")
+        result = saved(result, "partenum-result", slim="light")
         for old in (ties, classes, coarse, members, tied, dealt, links, labels):
             drop(old)
     return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
