@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text as T
 from ._io import saved
 
 #: Vectors that the centres are fitted on, at most: those of the smallest hashes.
@@ -124,6 +125,7 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
 def _classes(rows: DataFrame, width: int, ids: int) -> DataFrame:
     """embedding and ids: of each distinct vector the `ids` smallest vec_ids, gathered by batch first, so a vector of many rows costs one row a batch."""
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("embedding"), width) + 0.0  # no -0.0
@@ -170,6 +172,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
     quantiser = fit(_matrix(drawn.column("embedding").combine_chunks(), width))
     keep = k + 1  # the query itself may be among the best
 
+    @T.tidied
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -205,6 +208,7 @@ def _best(df: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def _scan(sent, quantiser: Quantiser, width: int, keep: int):
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = sent.value
         best = (np.full((len(names), 0), -np.inf), np.full((len(names), 0), -1, np.int64))

@@ -16,6 +16,7 @@ from . import _text as T
 MAX_LABELLED = 4000
 
 
+@T.tidied
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label, at = batch.column("label"), 0

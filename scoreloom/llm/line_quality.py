@@ -36,6 +36,7 @@ def score(docs: DataFrame, model: C.Model) -> DataFrame:
     texts score equally. One narrow pass over whole texts, without a shuffle.
     """
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model), pa.float64())], ["doc_id", "score"])
@@ -46,6 +47,7 @@ def score(docs: DataFrame, model: C.Model) -> DataFrame:
 def keep_good(docs: DataFrame, model: C.Model, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores at least `least`."""
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column("text"), model) >= least))

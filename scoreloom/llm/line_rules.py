@@ -53,6 +53,7 @@ def judge(docs: DataFrame, model: C.Model, share: float = CONTENT_SHARE) -> Data
     shuffle, and memory of a block or of the longest text.
     """
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at = batch.column("doc_id"), 0

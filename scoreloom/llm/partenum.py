@@ -162,6 +162,7 @@ def _folded(sketch: list[bytes]) -> np.ndarray:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, size, node and sketch of each text's set; no node for an empty set."""
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in T.blocks(batch.column("text")):
@@ -178,6 +179,7 @@ def _tied(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @T.tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -221,6 +223,7 @@ def _tied(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if size:
             yield flush()
 
+    @T.tidied
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, ready = [], [], []
         for batch in batches:
@@ -254,6 +257,7 @@ def _bits(hashed: np.ndarray) -> np.ndarray:
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without most rows whose doc_id is not in ids: a Bloom filter of fixed size goes to all tasks, so that few texts are dealt out by the join that decides. With too many ids it lets all pass."""
 
+    @T.tidied
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(FILTER_WORDS, np.uint64)
         for batch in batches:
@@ -279,6 +283,7 @@ def _elements(docs: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
     """dealt (node, doc_id, whole, low, i, high, j) with the nodes' sets as packed 64-bit hashes: one text a node is read again."""
     keys = ["node", *_PAIR]
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in T.blocks(batch.column("text")):

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from . import _text as T
+
 _NONE = 1 << 62
 #: Remembered strings a generation and worker; two generations are kept.
 MEMORY = 300_000
@@ -152,6 +154,12 @@ class Codec:
         parts = (x for x in self.specials.split(chunk) if x)
         return b"".join(np.array([self.special[x]], np.int32).tobytes() if x in self.special else self._plain(x) for x in parts)
 
+    def forget(self) -> None:
+        """Empties the memories; the worker may go on with other work."""
+        for held in (self.chunks, self.pieces):
+            held.old = {}
+            held.clear()
+
     def encode(self, text: str) -> np.ndarray:
         chunks = [x for x in self.spaces.split(text) if x] if self.odd.search(text) else text.split()
         out = np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), np.int32)
@@ -185,6 +193,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
         for batch in batches:
@@ -195,6 +204,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([rows.slice(at, 500), column], ["doc_id", "ids"])
+        codec.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -203,6 +213,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """encoded (doc_id, ids) with the column decoded added: the text of its ids, special tokens included."""
     sent = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent.value)
         for batch in batches:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _text as T
+
 #: From this many bytes equal payloads are stored once.
 REVISIT_BYTES = 1000
 #: Records in a file at most: a file is read by one task.
@@ -116,6 +118,7 @@ _SCHEMA = "kind string, record_id string, concurrent_to string, target string, p
 def read(spark: SparkSession, path: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """The records (of these kinds) of all archives under path: kind, record_id, concurrent_to, target, page_id, refers_to, digest, size (of the full payload), payload (of responses), block (of the others)."""
 
+    @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def number(text: str | None) -> int | None:
             return None if text is None else int(text)
