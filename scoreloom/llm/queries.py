@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import anisotropic, blob_ledger, crf_training, hash_tree, license_search, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
 from ._io import fresh, read
+from .oracle import SQL
 
 
 def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_line_rules, op2_anisotropic, op3_blob_ledger, op4_line_quality, op5_partenum, op6_license_search, op7_hash_tree, op8_segment_bpe, op9_poisson_mix, op10_warc)
 }
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
