@@ -59,7 +59,8 @@ def _pieces(text: Column, rule: Rule) -> Column:
 
 def _scanned(versions: DataFrame, todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, rule, start, end) of the blobs in todo (path, blob, rules), each under its rules."""
-    own = versions.join(todo, ["path", "blob"])
+    named = todo.select(F.col("path").alias("__path"), F.col("blob").alias("__blob"), "rules")
+    own = versions.join(named, (F.col("blob") == F.col("__blob")) & F.col("path").eqNullSafe(F.col("__path")))
     none = F.array().cast("array<struct<rule:string,at:int,gap:int,size:int,good:boolean>>")
     pieces = F.concat(*[F.when(F.array_contains("rules", r.name), _pieces(F.col("text"), r)).otherwise(none) for r in rules])
     each = own.select("blob", F.explode(pieces).alias("x")).select("blob", "x.*")
