@@ -1,21 +1,23 @@
 """Set similarity join of word shingles with PartEnum signatures, as connected components.
 
 Sets fall into bands of sizes a factor 1/threshold apart; linked sets lie in one band or
-in neighbouring ones, and differ in at most k elements, k known from the band. The domain
-of shingle hashes is cut into n1 = k // 2 + 1 parts of three cells. Some part holds at most
-one of the k differences, so two of its three cells are equal in both sets: a set's
-signatures are all pairs of cells of all parts, and linked sets share one.
+in neighbouring ones, and differ in at most k elements, k known from the band. The domain of
+shingle hashes is cut into parts and each part into cells, so that some part holds few
+enough of the k differences to leave several of its cells equal in both sets: a set's
+signatures are all choices of so many cells of each part, and linked sets share one.
 
 Equal sets are one node. Each block of texts and then each bucket of signatures ties the
 nodes of a signature to its smallest one, so a signature costs one entry a block and no
 task needs the pairs of a group. What the ties hold together, directly or through others,
 falls apart where sizes and sketches rule links out, and the rest is compared exactly: small
-groups as they are, larger ones in pairs of bounded blocks of equal or neighbouring size bands. A task gives back only links that span what it linked.
+groups as they are, larger ones in pairs of bounded blocks of equal or neighbouring
+size bands. A task gives back only links that span what it linked.
 """
 
 from __future__ import annotations
 
 import contextlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,36 +95,77 @@ def bands(sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(tops, sizes), tops * (100 - percent) // percent
 
 
+#: Seeds under which a set's domain is cut in turn while some of its signatures are empty.
+SEEDS = 5
+
+
+def _plan(k: int) -> tuple[int, int, int, int]:
+    """Parts, cells of a part, cells of a signature, and spare parts, for sets that differ in at most k elements.
+
+    A part with at most `cells - taken` differences leaves `taken` clean cells; there are
+    more such parts than spare ones. Few differences take the domain as one part.
+    """
+    if k <= 8:
+        return 1, k + 3, 3, 0
+    spare = 1 if k <= 24 else 2 + k // 64
+    return k // 2 + 1 + spare, 3, 2, spare
+
+
 def signatures(elements: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets and the set of each. Bands with k = 0 link equal sets only, which are one node already."""
+    """Signatures of all sets and the set of each. Bands with k = 0 link equal sets only, which are one node already.
+
+    Linked sets share a signature that is not empty if one of them has no more parts with an
+    empty signature than spare ones. A set with more also takes the signatures of the next
+    seed, where its like meet again; only after the last are empty ones given out.
+    """
     band, most = bands(sizes, percent)
-    found, owners = [], []
+    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    starts = np.r_[0, np.cumsum(sizes)]
     for down in (0, 1):
         at = band - down
-        k = np.where((at >= 0) & (sizes > 0), most[np.maximum(at, 0)], 0)
-        use = k > 0
-        n1 = np.where(use, k // 2 + 1, 0)
-        base = np.r_[0, np.cumsum(3 * n1)]
-        keep = np.repeat(use, sizes)
-        x = elements[keep]
-        owner = np.repeat(np.arange(len(sizes)), np.where(use, sizes, 0))
-        place = T.mix(x + np.uint64(0x2545F4914F6CDD1D))
-        part = ((place >> np.uint64(32)) * n1[owner].astype(np.uint64)) >> np.uint64(32)
-        cell = ((place & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> np.uint64(32)
-        cell = base[owner] + (3 * part + cell).astype(np.int64)
-        total, count = _sums(cell, T.mix(x * np.uint64(3) + np.uint64(0x1234567)), base[-1]).reshape(-1, 3), np.bincount(cell, minlength=base[-1]).reshape(-1, 3)
-        of = np.repeat(np.arange(len(sizes)), n1)
-        tag = (at[of].astype(np.uint64) << np.uint64(40)) + (np.arange(len(of)) - np.repeat(base[:-1] // 3, n1)).astype(np.uint64) * np.uint64(4)
-        pair = T.mix(total.sum(1, dtype=np.uint64)[:, None] - total + T.mix(tag[:, None] + np.arange(3, dtype=np.uint64)))
-        empty = count.sum(1)[:, None] == count
-        # a shared signature that is empty need not be met unless both sets have empty ones
-        sparse = np.bincount(of, empty.any(1), len(sizes)) > 0
-        take = ~empty | sparse[of][:, None]
-        found.append(pair[take])
-        owners.append(np.broadcast_to(of[:, None], pair.shape)[take])
+        all_k = np.where((at >= 0) & (sizes > 0), most[np.maximum(at, 0)], 0)
+        for wide in (False, True):  # one part of k + 3 cells, or several of 3
+            live = np.flatnonzero((all_k > 8) if wide else ((all_k > 0) & (all_k <= 8)))
+            for kinds in [live] if wide else [live[all_k[live] == k] for k in np.unique(all_k[live])]:
+                for seed in range(SEEDS):
+                    if not len(kinds):
+                        break
+                    key, owner, thin = _cut(elements, starts, sizes, kinds, all_k[kinds], at[kinds], seed)
+                    found.append(key)
+                    owners.append(owner)
+                    kinds = kinds[thin]
     return np.concatenate(found), np.concatenate(owners)
 
 
+def _cut(elements, starts, sizes, which, k, band, seed):
+    """Signatures of the sets `which` under a seed, and which of them have too many empty ones. All have one plan, but for the number of parts."""
+    plans = {int(v): _plan(int(v)) for v in np.unique(k)}
+    _, cells, taken, _ = next(iter(plans.values()))
+    parts, spare = (np.array([plans[int(v)][i] for v in k], np.int64) for i in (0, 3))
+    base = np.r_[0, np.cumsum(cells * parts)]
+    size = sizes[which]
+    owner = np.repeat(np.arange(len(which)), size)
+    x = elements[np.repeat(starts[which] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+    place = T.mix(x + np.uint64(0x2545F4914F6CDD1D + 0x9E3779B9 * seed))
+    part = ((place >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)
+    cell = ((place & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32)
+    cell = base[owner] + (cells * part + cell).astype(np.int64)
+    total = _sums(cell, T.mix(x * np.uint64(3) + np.uint64(0x1234567)), base[-1]).reshape(-1, cells)
+    count = np.bincount(cell, minlength=base[-1]).reshape(-1, cells)
+    of = np.repeat(np.arange(len(which)), parts)
+    number = np.arange(len(of)) - np.repeat(base[:-1] // cells, parts)
+    tag = T.mix((band[of].astype(np.uint64) << np.uint64(40)) + (np.uint64(seed) << np.uint64(36)) + number.astype(np.uint64))
+    chosen = np.array(list(itertools.combinations(range(cells), taken)))
+    key, filled = np.zeros((len(of), len(chosen)), np.uint64), np.zeros((len(of), len(chosen)), np.int64)
+    for j in range(taken):
+        key += total[:, chosen[:, j]]
+        filled += count[:, chosen[:, j]]
+    key = T.mix(key + T.mix(tag[:, None] + np.arange(1, len(chosen) + 1, dtype=np.uint64)))
+    thin = np.bincount(of, (filled == 0).any(1), len(which)) > spare
+    take = (filled > 0) | (thin[of][:, None] & (seed == SEEDS - 1))
+    return key[take], np.broadcast_to(which[of][:, None], key.shape)[take], thin
+
+
 def _ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorts (key, node) pairs. Returns ties (member, smallest node of its key), distinct, and the places of one entry a key: the smallest node."""
     order = np.lexsort((node, key))
@@ -304,8 +347,8 @@ BLOCK_SETS, BLOCK_ELEMENTS = 512, 1 << 21
 
 
 def _blocks(by_elements: bool):
-    """Number of blocks of a group."""
-    n = F.ceil(F.count("*") / BLOCK_SETS)
+    """Number of blocks of a group; blocks of sketches hold twice as many rows."""
+    n = F.ceil(F.count("*") / (BLOCK_SETS if by_elements else 2 * BLOCK_SETS))
     return (F.greatest(n, F.ceil(F.sum("size") / BLOCK_ELEMENTS)) if by_elements else n).cast("int")
 
 
