@@ -155,10 +155,9 @@ class Codec:
         return b"".join(np.array([self.special[x]], np.int32).tobytes() if x in self.special else self._plain(x) for x in parts)
 
     def forget(self) -> None:
-        """Empties the memories; the worker may go on with other work."""
-        for held in (self.chunks, self.pieces):
-            held.old = {}
-            held.clear()
+        """Empties the memories but for one generation of pieces; the worker may go on with other work."""
+        self.chunks.old, self.pieces.old = {}, {}
+        self.chunks.clear()
 
     def encode(self, text: str) -> np.ndarray:
         chunks = [x for x in self.spaces.split(text) if x] if self.odd.search(text) else text.split()
