@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._io import saved
 
 #: From this many bytes equal payloads are stored once.
 REVISIT_BYTES = 1000
@@ -40,6 +41,8 @@ def classified(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     own = own.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload").cast("long"))
     # equal payloads meet as digests and ids only
     several = own.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written first, so that its size decides the join and a digest of many pages can be split
+    several = saved(several, "warc-equal", slim="light")
     return own.join(several, "digest", "left").withColumn("refers_to", F.when(~F.col("last").eqNullSafe(F.col("page_id")) & (F.col("size") >= least), F.col("last"))).drop("last")
 
 
