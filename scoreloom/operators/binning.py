@@ -281,7 +281,7 @@ class Binner:
     def woe_transform(self, df: DataFrame) -> DataFrame:
         """df with each fitted feature as its bin's weight of evidence; bins without one: 0."""
         self._fitted()
-        lacking = [f for f in self.rules_ if f not in self.woe_maps_]
+        lacking = [f for f in self.rules_ if not self.woe_maps_.get(f)]
         if lacking:
             raise ValueError(f"no WOE for {lacking}; call fit_woe() first")
         return df.withColumns({f: self.woe_expression(df, f) for f in self.rules_ if f in df.columns})

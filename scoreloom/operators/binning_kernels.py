@@ -116,15 +116,19 @@ def tree_splits(x: np.ndarray, n: np.ndarray, bad: np.ndarray, leaves: int, leas
 
 def pair_chi2(n1: float, b1: float, n2: float, b2: float) -> float:
     """Chi-squared of two bins with Yates' correction, subtracted whatever the difference."""
-    n, b = n1 + n2, b1 + b2
-    if n == 0:
+    n = n1 + n2
+    if not n:
         return 0.0
-    out = 0.0
-    for rows, bads in ((n1, b1), (n2, b2)):
-        for seen, share in ((bads, b / n), (rows - bads, (n - b) / n)):
-            expected = rows * share
-            out += (abs(seen - expected) - 0.5) ** 2 / max(expected, 1e-9)
-    return out
+    b = b1 + b2
+    bad, good = b / n, (n - b) / n
+    # the four cells, spelled out: this runs for every merge
+    e, f, g, h = n1 * bad, n1 * good, n2 * bad, n2 * good
+    return (
+        (abs(b1 - e) - 0.5) ** 2 / (e if e > 1e-9 else 1e-9)
+        + (abs(n1 - b1 - f) - 0.5) ** 2 / (f if f > 1e-9 else 1e-9)
+        + (abs(b2 - g) - 0.5) ** 2 / (g if g > 1e-9 else 1e-9)
+        + (abs(n2 - b2 - h) - 0.5) ** 2 / (h if h > 1e-9 else 1e-9)
+    )
 
 
 def chimerge_splits(x: np.ndarray, n: np.ndarray, bad: np.ndarray, bins: int, alpha: float, least: int | None) -> list[float]:

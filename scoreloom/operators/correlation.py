@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric
@@ -14,6 +14,13 @@ from ..functions.columns import numeric
 METHODS = ("pearson", "spearman", "kendall")
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation over rows where both are present; null if either is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
@@ -39,8 +46,7 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     exprs = []
     for i, (a, b) in enumerate(pairs):
         x, y = F.col(f"c{place[a]}"), F.col(f"c{place[b]}")
-        both = x.isNotNull() & y.isNotNull()
-        r = F.corr(F.when(both, x), F.when(both, y))
+        r = pearson(x, y)
         exprs.append(F.when(~F.isnan(r), r).alias(f"p{i}"))
     row = own.agg(*exprs)
     made = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
@@ -173,4 +179,4 @@ def moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarr
     return gram, s / n + base, n
 
 
-__all__ = ["METHODS", "correlation_matrix", "correlations", "high_pairs", "moments", "vif"]
+__all__ = ["METHODS", "correlation_matrix", "correlations", "high_pairs", "moments", "pearson", "vif"]

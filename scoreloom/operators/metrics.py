@@ -87,17 +87,27 @@ def _joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     return left.join(named, on, "left").drop(*[f"__{c}" for c in by])
 
 
+def _named(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """df with copies of the group columns under names that no table here uses."""
+    names = [f"__by{i}" for i in range(len(by))]
+    return df.withColumns({n: col(c) for n, c in zip(names, by, strict=True)}), names
+
+
+def _renamed(df: DataFrame, names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], *[col(c) for c in df.columns if c not in names])
+
+
 def binary_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] = (), mode: str = "exact", bins: int = 10, levels: Sequence[float] = LEVELS, descending: bool = True, reverse_auc: bool = False) -> DataFrame:
     """(by..., 总, 好, 坏, 坏占比, KS, AUC, k%lift): metrics of a score, of the whole or of each group."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, got {mode!r}")
-    by = list(by)
+    shown, (df, by) = list(by), _named(df, by)
     points = score_points(df, y, score, by)
     if mode == "exact":
         curve = curve_metrics(points, by, levels, descending, reverse_auc)
     else:
         curve = binned_metrics(points, by, bins, levels, descending, reverse_auc)
-    return _joined(totals(points, by), curve, by).select(*by, *core_columns(levels))
+    return _renamed(_joined(totals(points, by), curve, by).select(*by, *core_columns(levels)), by, shown)
 
 
 def score_edges(points: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
@@ -155,12 +165,14 @@ def binned_metrics(points: DataFrame, by: Sequence[str], bins: int, levels: Sequ
 
 def auc(df: DataFrame, y: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by..., auc), weighted if asked."""
-    return curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None).select(*by, F.col("AUC").alias("auc"))
+    shown, (df, by) = list(by), _named(df, by)
+    return _renamed(curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None).select(*by, F.col("AUC").alias("auc")), by, shown)
 
 
 def ks(df: DataFrame, y: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by..., ks) in 0 to 1."""
-    return curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None).select(*by, F.col("KS").alias("ks"))
+    shown, (df, by) = list(by), _named(df, by)
+    return _renamed(curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None).select(*by, F.col("KS").alias("ks")), by, shown)
 
 
 def gini(df: DataFrame, y: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -210,9 +222,9 @@ def amount_metrics(df: DataFrame, y: str, score: str, principal: str, loan: str,
 
     The bad share is overdue principal over loan; lift is that share among the top k of rows by score over all rows' share, rows of one score sharing.
     """
-    by = list(by)
+    shown, (df, by) = list(by), _named(df, by)
     lab, x = label(df, y), numeric(df, score)
-    own = df.select(*[col(c) for c in by], lab.alias("__y"), x.alias("s"), F.coalesce(numeric(df, principal), F.lit(0.0)).alias("__p"), F.coalesce(numeric(df, loan), F.lit(0.0)).alias("__l")).where("__y is not null")
+    own = df.select(*by, lab.alias("__y"), x.alias("s"), F.coalesce(numeric(df, principal), F.lit(0.0)).alias("__p"), F.coalesce(numeric(df, loan), F.lit(0.0)).alias("__l")).where("__y is not null")
     sums = [F.sum("__l").alias("放款金额"), F.sum("__p").alias("逾期本金")]
     whole = (own.groupBy(*by).agg(*sums) if by else own.agg(*sums)).withColumn("金额坏占比", ratio(F.col("逾期本金"), F.col("放款金额")))
     points = own.where("s is not null").groupBy(*by, "s").agg(F.count("*").cast("double").alias("n"), F.sum("__p").alias("p"), F.sum("__l").alias("l"), F.coalesce(F.sum(F.when(F.col("__y") == 1, F.col("__l"))), F.lit(0.0)).alias("b"), F.coalesce(F.sum(F.when(F.col("__y") == 0, F.col("__l"))), F.lit(0.0)).alias("g"))
@@ -230,7 +242,7 @@ def amount_metrics(df: DataFrame, y: str, score: str, principal: str, loan: str,
         loans = F.col("all_l") - F.col("before_l") - F.col("l") + part * F.col("l")
         aggregates.append(F.max(F.when(crossing, ratio(ratio(p, loans), ratio(F.col("all_p"), F.col("all_l"))))).alias(lift_name(k).replace("lift", "金额lift")))
     curve = run.groupBy(*by).agg(*aggregates) if by else run.agg(*aggregates)
-    return _joined(whole, curve, by)
+    return _renamed(_joined(whole, curve, by), by, shown)
 
 
 __all__ = ["LEVELS", "amount_metrics", "auc", "binary_metrics", "core_columns", "curve_metrics", "gini", "ks", "lift_at_k", "lift_table", "score_points", "totals"]

@@ -82,9 +82,21 @@ def psi_features(expected: DataFrame, actual: DataFrame, features: Sequence[str]
     return _pairs(both, features, buckets, nan_strategy, quantiles(expected, features, [i / buckets for i in range(buckets + 1)]))
 
 
+def _named(data: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """data with copies of the columns under names that no table here uses, and these names."""
+    names = {c: f"__key{i}" for i, c in enumerate(dict.fromkeys(columns))}
+    return data.withColumns({n: col(c) for c, n in names.items()}), names
+
+
 def psi_groups(reference: DataFrame, data: DataFrame, column: str, groups: Sequence[str], buckets: int = 10, nan_strategy: str = "separate") -> DataFrame:
     """(groups..., psi) of each group of data against one reference."""
     _checked(buckets, nan_strategy)
+    shown, (data, names) = list(groups), _named(data, groups)
+    out = _psi_groups(reference, data, column, [names[g] for g in groups], buckets, nan_strategy)
+    return out.select(*[F.col(names[g]).alias(g) for g in shown], "psi")
+
+
+def _psi_groups(reference: DataFrame, data: DataFrame, column: str, groups: Sequence[str], buckets: int, nan_strategy: str) -> DataFrame:
     cuts = inner_edges(quantiles(reference.select(numeric(reference, column).alias("x")), ["x"], [i / buckets for i in range(buckets + 1)])["x"])
 
     def counted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -133,6 +145,13 @@ def grouped_psi(data: DataFrame, group_cols: Sequence[str], score: str, referenc
     for c in (reference_col, score, *groups, *partitions):
         if c not in data.columns:
             raise KeyError(c)
+    data, names = _named(data, [*partitions, *groups, reference_col])
+    shown = [*partitions, *[g for g in groups if g not in partitions]]
+    out = _grouped(data, [names[g] for g in groups], score, reference_mode, names[reference_col], reference_value, [names[p] for p in partitions], buckets, nan_strategy)
+    return out.select(*[F.col(names[c]).alias(c) for c in shown], "psi", "is_reference", *(COUNTS if include_stats else ()))
+
+
+def _grouped(data: DataFrame, groups: list[str], score: str, reference_mode: str, reference_col: str, reference_value, partitions: list[str], buckets: int, nan_strategy: str) -> DataFrame:
     own = data.select(*[col(c) for c in dict.fromkeys([*partitions, *groups, reference_col])], numeric(data, score).alias("x"))
     if reference_mode == "latest":
         key = month_rank(F.col(reference_col))
@@ -161,7 +180,7 @@ def grouped_psi(data: DataFrame, group_cols: Sequence[str], score: str, referenc
     out = _with(_with(out, refs, names), base, keys)
     shown = F.col("__all") if reference_col in groups else F.lit(False)
     out = out.withColumn("is_reference", shown)
-    return out.select(*partitions, *[g for g in groups if g not in partitions], "psi", "is_reference", *(COUNTS if include_stats else ()))
+    return out.select(*partitions, *[g for g in groups if g not in partitions], "psi", "is_reference", *COUNTS)
 
 
 def _with(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import category, col, is_numeric, label, numeric
 from ..functions.quantiles import long_form, quantile_rows
 from . import metrics as M
-from .correlation import high_pairs, vif
+from .correlation import high_pairs, pearson, vif
 from .logistic import Fit, fit_many, prepared
 from .psi import psi_features
 from .woe import batch_iv
@@ -80,7 +80,7 @@ def supervised_summary(df: DataFrame, columns: Sequence[str], y: str, bins: int
         long = long_form(own, numbers, keep=["__y"])
         curve = M.binary_metrics(long, "__y", "x", ["feature"], levels=(0.10,)).select(F.col("feature").alias("__f"), F.col("KS").alias("ks"), F.col("10%lift").alias("lift_10"))
         target = numeric(df, y)
-        corr = long_form(df.withColumn("__t", target), numbers, keep=["__t"]).where("x is not null and __t is not null").groupBy("feature").agg(F.corr("x", "__t").alias("correlation")).withColumnRenamed("feature", "__g")
+        corr = long_form(df.withColumn("__t", target), numbers, keep=["__t"]).where("x is not null and __t is not null").groupBy("feature").agg(pearson(F.col("x"), F.col("__t")).alias("correlation")).withColumnRenamed("feature", "__g")
         out = out.join(curve, F.col("feature") == F.col("__f"), "left").join(corr, F.col("feature") == F.col("__g"), "left").drop("__f", "__g")
         out = out.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
     return out
