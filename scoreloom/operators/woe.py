@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bins as B
 from ..functions.columns import EPSILON, MISSING, category, is_numeric, label, numeric
 from ..functions.quantiles import long_form, quantile_rows
+from ..functions.running import running_sums
 
 STATS = ("bin", "min", "max", "bads", "goods", "total", "bad_rate", "good_rate", "odds", "bad_prop", "good_prop", "total_prop", "cum_bads", "cum_goods", "cum_total", "cum_bads_prop", "cum_goods_prop", "cum_total_prop", "ks", "woe", "iv", "lift")
 
@@ -54,11 +55,12 @@ def batch_iv(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
     if numbers:
         long = long_form(df.withColumn("__y", label(df, y)).where("__y is not null"), numbers, keep=["__y"])
         values = long.groupBy("feature", "x").agg(F.count("*").alias("total"), F.sum("__y").cast("long").alias("bad"))
-        distinct = {r["feature"]: r["n"] for r in values.groupBy("feature").agg(F.count("x").alias("n")).collect()}
-        edges = _positions(long, {f: min(bins, distinct.get(f, 0)) for f in numbers})
+        sizes = {r["feature"]: (r["d"], r["n"]) for r in values.where("x is not null").groupBy("feature").agg(F.count("*").alias("d"), F.sum("total").alias("n")).collect()}
+        distinct = {f: d for f, (d, _) in sizes.items()}
+        edges = _positions(values, {f: (min(bins, d), n) for f, (d, n) in sizes.items()})
         code = F.lit(None).cast("int")
         for f in numbers:
-            code = F.when(F.col("feature") == f, B.bin_code(F.col("x"), edges[f], closed="left") if distinct.get(f, 0) > 1 else F.lit(0)).otherwise(code)
+            code = F.when(F.col("feature") == f, B.bin_code(F.col("x"), edges.get(f, []), closed="left") if distinct.get(f, 0) > 1 else F.lit(0)).otherwise(code)
         binned = values.withColumn("bin", code.cast("string")).groupBy("feature", "bin").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
         parts.append(with_woe(binned.withColumn("good", F.col("total") - F.col("bad"))))
     texts = [f for f in features if f not in numbers]
@@ -69,21 +71,24 @@ def batch_iv(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
     return both.groupBy("feature").agg(F.sum("iv_contribution").alias("iv")).orderBy(place[F.col("feature")])
 
 
-def _positions(long: DataFrame, cells: dict[str, int]) -> dict[str, list[float]]:
-    """For each feature the values at positions round((n - 1) * i / k) of its sorted values, inner ones, distinct."""
-    sizes = {r["feature"]: r["n"] for r in long.where(F.col("x").isNotNull()).groupBy("feature").agg(F.count("*").alias("n")).collect()}
+def _positions(values: DataFrame, cells: dict[str, tuple[int, int]]) -> dict[str, list[float]]:
+    """For each feature, of k cells and n values, the values at positions round((n - 1) * i / k) of its sorted values, inner ones, distinct.
+
+    values: (feature, x, total). Positions fall into the runs of equal values, found by running sums.
+    """
+    wanted = {f: sorted({round((n - 1) * i / k) for i in range(k + 1)}) for f, (k, n) in cells.items() if k > 1}
     out: dict[str, list[float]] = {f: [] for f in cells}
-    for k in sorted({k for k in cells.values() if k > 1}):
-        own = [f for f in cells if cells[f] == k and sizes.get(f, 0) > 1]
-        same = {}
-        for f in own:
-            same.setdefault(sizes[f], []).append(f)
-        for n, group in same.items():
-            at = [round((n - 1) * i / k) / (n - 1) for i in range(k + 1)]
-            rows = quantile_rows(long.where(F.col("feature").isin(group)), at).select("feature", "place", "value").collect()
-            for f in group:
-                found = sorted({r["value"] for r in rows if r["feature"] == f})
-                out[f] = found[1:-1]
+    if not wanted:
+        return out
+    own = values.where(F.col("x").isNotNull() & F.col("feature").isin(list(wanted)))
+    run = running_sums(own, ["feature"], "x", ["total"])
+    places = F.array().cast("array<long>")
+    for f, at in wanted.items():
+        places = F.when(F.col("feature") == f, F.array(*[F.lit(int(p)).cast("long") for p in at])).otherwise(places)
+    first, after = F.col("before_total"), F.col("before_total") + F.col("total")
+    rows = run.where(F.exists(places, lambda p: (p >= first) & (p < after))).select("feature", "x").collect()  # at most k + 1 a feature
+    for f in wanted:
+        out[f] = sorted({r["x"] for r in rows if r["feature"] == f})[1:-1]
     return out
 
 
