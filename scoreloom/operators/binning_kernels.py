@@ -39,41 +39,76 @@ def equal_width(low: float, high: float, bins: int) -> list[float]:
     return [float(x) for x in np.linspace(low, high, bins + 1)[1:-1]]
 
 
-def kmeans_splits(x: np.ndarray, n: np.ndarray, k: int, most: int = 1500) -> list[float]:
-    """Midpoints between the centres of the partition into k intervals with the least squared error, by dynamic programming.
-
-    More than `most` distinct values are first met in cells of equal counts.
+#: Costs that k-means holds at a time.
+BLOCK = 1 << 20
+
+
+def _least_at(cost, j: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least cost(i, j) of a <= i <= z, and its first i; BLOCK costs are held at a time."""
+    parts = (z - a) // BLOCK + 1
+    first = np.cumsum(parts) - parts
+    owner = np.repeat(np.arange(len(j)), parts)
+    start = a[owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
+    size = np.minimum(BLOCK, z[owner] + 1 - start)
+    block = (np.cumsum(size) - 1) // BLOCK
+    lows, places = [], []
+    for own in np.split(np.arange(len(owner)), np.flatnonzero(np.diff(block)) + 1):
+        n, at = size[own], np.cumsum(size[own]) - size[own]
+        i = np.repeat(start[own] - at, n) + np.arange(n.sum())
+        total = cost(i, np.repeat(j[owner[own]], n))
+        low = np.minimum.reduceat(total, at)
+        hits = np.flatnonzero(total == np.repeat(low, n))
+        lows.append(low)
+        places.append(i[hits[np.searchsorted(hits, at)]])
+    low, place = np.concatenate(lows), np.concatenate(places)
+    best = np.minimum.reduceat(low, first)
+    hits = np.flatnonzero(low == np.repeat(best, parts))
+    return best, place[hits[np.searchsorted(hits, first)]]
+
+
+def kmeans_splits(x: np.ndarray, n: np.ndarray, k: int) -> list[float]:
+    """Midpoints between the centres of the partition into k intervals with the least squared error, by dynamic programming over all distinct values.
+
+    The best last cut never moves left as values are added, so each layer halves the range of ends and of cuts in turns: O(k m log m). Infinite values have no centre; they fall into the outermost bins.
     """
-    if len(x) < k:
-        return []
-    if len(x) > most:
-        cell = np.minimum((np.cumsum(n) - n / 2) * most // n.sum(), most - 1).astype(int)
-        weight = np.bincount(cell, n, most)
-        total = np.bincount(cell, n * x, most)
-        x, n = total[weight > 0] / weight[weight > 0], weight[weight > 0]
-    w, wx, wxx = (np.r_[0.0, np.cumsum(v)] for v in (n, n * x, n * x * x))
+    finite = np.isfinite(x)
+    x, n = np.asarray(x, float)[finite], np.asarray(n, float)[finite]
     m = len(x)
+    if m < k or k < 2:
+        return []
+    middle = int(np.searchsorted(np.cumsum(n), n.sum() / 2))
+    d, rows = x.astype(np.longdouble) - x[middle], n.astype(np.longdouble)
+
+    def sums(v):  # outward from the median, so that far values don't blur the sums of near ones
+        return np.concatenate([-np.cumsum(v[:middle][::-1])[::-1], [np.longdouble(0)], np.cumsum(v[middle:])])
+
+    w, wx, wxx = sums(rows), sums(rows * d), sums(rows * d * d)
 
     def cost(i, j):  # of x[i:j]
-        return wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / np.maximum(w[j] - w[i], 1e-300)
+        s = wx[j] - wx[i]
+        return np.maximum(wxx[j] - wxx[i] - s * s / (w[j] - w[i]), 0)
 
-    best = cost(np.zeros(m + 1, int), np.arange(m + 1))
+    best = np.concatenate([[np.longdouble(0)], cost(np.zeros(m, int), np.arange(1, m + 1))])
     cuts = []
-    for _ in range(1, k):
-        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
-        for j in range(1, m + 1):
-            i = np.arange(j)
-            total = best[:j] + cost(i, j)
-            cut[j] = int(total.argmin())
-            new[j] = total[cut[j]]
+    for c in range(1, k):  # x[:j] in c + 1 intervals, the last of them x[i:j]
+        new, cut = np.full(m + 1, np.inf, np.longdouble), np.zeros(m + 1, np.int64)
+        low, high = np.array([c + 1 if c < k - 1 else m]), np.array([m])
+        a, z = np.array([c]), np.array([m - 1])
+        while len(low):
+            j = (low + high) // 2
+            new[j], at = _least_at(lambda i, j: best[i] + cost(i, j), j, a, np.minimum(z, j - 1))
+            cut[j] = at
+            low, high = np.concatenate([low, j + 1]), np.concatenate([j - 1, high])
+            a, z = np.concatenate([a, at]), np.concatenate([at, z])
+            some = low <= high
+            low, high, a, z = low[some], high[some], a[some], z[some]
         cuts.append(cut)
         best = new
-    ends, j = [m], m
+    ends = [m]
     for cut in reversed(cuts):
-        j = int(cut[j])
-        ends.append(j)
-    ends = [0, *sorted({e for e in ends if e > 0})]
-    centres = [(wx[b] - wx[a]) / (w[b] - w[a]) for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a]
+        ends.append(int(cut[ends[-1]]))
+    ends = [0, *reversed(ends)]
+    centres = [x[middle] + (rows[a:b] * d[a:b]).sum() / rows[a:b].sum() for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return [float((a + b) / 2) for a, b in zip(centres[:-1], centres[1:], strict=True)]
 
 

@@ -80,6 +80,51 @@ def test_kmeans_against_all_partitions(seed):
     assert K.kmeans_splits(x, n, 11) == []
 
 
+def plain_kmeans(x, n, k):
+    """The quadratic program in whole numbers, without rounding."""
+    x, n, m = [int(v) for v in x], [int(v) for v in n], len(x)
+    w, wx, wxx = ([0, *itertools.accumulate(v)] for v in (n, [a * b for a, b in zip(n, x)], [a * b * b for a, b in zip(n, x)]))
+    w, wx, wxx = (np.array(v, float) for v in (w, wx, wxx))
+    best, cuts = np.r_[0.0, wxx[1:] - wx[1:] ** 2 / w[1:]], []
+    for c in range(1, k):
+        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, int)
+        for j in range(c + 1, m + 1):
+            i = np.arange(c, j)
+            total = best[i] + wxx[j] - wxx[i] - (wx[j] - wx[i]) ** 2 / (w[j] - w[i])
+            cut[j], new[j] = i[total.argmin()], total.min()
+        cuts.append(cut)
+        best = new
+    ends = [m]
+    for cut in reversed(cuts):
+        ends.append(cut[ends[-1]])
+    ends = [0, *reversed(ends)]
+    centres = [(wx[b] - wx[a]) / (w[b] - w[a]) for a, b in zip(ends, ends[1:])]
+    return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+
+
+@pytest.mark.parametrize("kind", ("plain", "outliers", "hot"))
+def test_kmeans_many_values(kind, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.unique(rng.integers(0, 50_000, 4_500)).astype(float)
+    n = rng.integers(1, 4, len(x)).astype(float)
+    if kind == "outliers":
+        x[-3:] = 1_000_000, 1_000_001, 2_000_000
+    if kind == "hot":
+        n[len(n) // 3] = 9 * n.sum()
+    assert len(x) > 3_000
+    wanted = plain_kmeans(x, n, 5)
+    assert np.allclose(K.kmeans_splits(x, n, 5), wanted, rtol=1e-12, atol=0)
+    monkeypatch.setattr(K, "BLOCK", 100)
+    assert np.allclose(K.kmeans_splits(x, n, 5), wanted, rtol=1e-12, atol=0)
+
+
+def test_kmeans_far_values():
+    x = np.r_[-1e9, np.arange(5000.0), np.arange(5000.0) + 20_000, 1e9]
+    got = K.kmeans_splits(x, np.ones(len(x)), 4)
+    assert np.allclose(got, [(-1e9 + 2499.5) / 2, 12_499.5, (1e9 + 22_499.5) / 2])
+    assert K.kmeans_splits(np.r_[-np.inf, 1.0, 2.0, np.inf], np.ones(4), 2) == [1.5]
+
+
 def test_optimal_against_all_partitions():
     x, n, b = counts(5, 9)
 
