@@ -2,12 +2,12 @@
 
 All features are fitted together. Equal width and equal frequency need one aggregate; the
 other methods get counts of distinct values by feature, and their sequential part runs in
-one grouped task per feature, over at most MAX_VALUES values.
+one grouped task per feature, over all of them unless pre_bins asks for cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 from ..functions import bins as B
 from ..functions.columns import label, numeric, numeric_columns
 from ..functions.quantiles import long_form, quantiles
+from ..functions.running import running_sums
 from . import binning_kernels as K
 from .woe import STATS, bin_statistics, counts
 
 METHODS = ("step", "quantile", "kmean", "dt", "chi", "opt")
 SUPERVISED = ("dt", "chi", "opt")
-#: Distinct values of a feature that a grouped task handles; a feature with more is first cut into CELLS cells of about equal counts, each taken at its smallest value.
-MAX_VALUES, CELLS = 2_000_000, 10_000
 
 
 def value_counts(df: DataFrame, features: Sequence[str], y: str | None = None) -> DataFrame:
@@ -34,25 +33,12 @@ def value_counts(df: DataFrame, features: Sequence[str], y: str | None = None) -
     return long.groupBy("feature", "x").agg(F.count("*").alias("n"), (F.sum("__y") if y else F.lit(0)).cast("long").alias("bad"))
 
 
-def _bounded(values: DataFrame) -> DataFrame:
-    """Counts by value, by cell where a feature has too many values."""
-    sizes = values.groupBy("feature").agg(F.count("*").alias("d"), F.percentile_approx("x", [i / CELLS for i in range(1, CELLS)], CELLS).alias("cuts"))
-    many = sizes.where(F.col("d") > MAX_VALUES).select("feature", "cuts").collect()  # of rare features
-    if not many:
-        return values
-    cuts = {r["feature"]: np.unique(r["cuts"]) for r in many}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["cell"] = 0
-            for feature, own in cuts.items():
-                at = batch["feature"] == feature
-                batch.loc[at, "cell"] = np.searchsorted(own, batch.loc[at, "x"], side="left")
-            yield batch
-
-    large = values.where(F.col("feature").isin(list(cuts))).mapInPandas(run, "feature string, x double, n long, bad long, cell long")
-    met = large.groupBy("feature", "cell").agg(F.min("x").alias("x"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).select("feature", "x", "n", "bad")
-    return values.where(~F.col("feature").isin(list(cuts))).unionByName(met)
+def pre_binned(values: DataFrame, cells: int) -> DataFrame:
+    """Counts by cells of about equal rows, each taken at its mean, of the features with more than `cells` values; a value is never divided."""
+    own = running_sums(values.withColumn("d", F.lit(1)), ["feature"], "x", ["n", "d"])
+    cell = F.when(F.col("all_d") <= cells, F.col("before_d")).otherwise(F.floor((F.col("before_n") + F.col("n") / 2) * cells / F.col("all_n")))
+    met = own.groupBy("feature", cell.alias("cell")).agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    return met.select("feature", "x", "n", "bad")
 
 
 def check_labels(df: DataFrame, y: str) -> None:
@@ -107,16 +93,19 @@ class OptBinner(BaseBinner):
     method = "opt"
 
 
-def fit_splits(df: DataFrame, features: Sequence[str], y: str | None = None, method: str = "chi", n_bins: int = 5, *, min_samples: int | float | None = None, monotonic: bool | str | None = None, alpha: float = 0.05) -> dict[str, list[float]]:
+def fit_splits(df: DataFrame, features: Sequence[str], y: str | None = None, method: str = "chi", n_bins: int = 5, *, min_samples: int | float | None = None, monotonic: bool | str | None = None, alpha: float = 0.05, pre_bins: int | None = None) -> dict[str, list[float]]:
     """Split points of each feature; features without a value are left out.
 
     min_samples None: 5 % for chi, 5 % of a leaf for dt, no repair for the others.
     monotonic: False or None, True or "auto" (by the ends), "ascending", "descending".
+    pre_bins: kmean, dt, chi and opt see at most so many cells of about equal rows of a feature; None: every distinct value.
     """
     if method not in METHODS:
         raise ValueError(f"unknown binning method: {method!r}; one of {METHODS}")
     if n_bins < 1:
         raise ValueError("n_bins must be at least 1")
+    if pre_bins is not None and pre_bins < 1:
+        raise ValueError("pre_bins must be at least 1")
     if y is None and (method in SUPERVISED or monotonic):
         raise ValueError(f"method {method!r} needs a target")
     if method == "chi":
@@ -139,7 +128,8 @@ def fit_splits(df: DataFrame, features: Sequence[str], y: str | None = None, met
         if min_samples is None and not monotonic:
             return splits
         return _repaired(df, splits, y, monotonic, min_samples)
-    values = _bounded(value_counts(df, features, y if method in SUPERVISED or monotonic else None))
+    values = value_counts(df, features, y if method in SUPERVISED or monotonic else None)
+    values = values if pre_bins is None else pre_binned(values, pre_bins)
     return _grouped(values, features, method, n_bins, min_samples, monotonic, alpha)
 
 
@@ -232,9 +222,9 @@ class Binner:
         self._data: DataFrame | None = None
         self._y: str | None = None
 
-    def fit(self, df: DataFrame, y: str | None = None, features: Sequence[str] | None = None, method: str = "chi", n_bins: int = 5, min_samples: int | float | None = None, monotonic: bool | str | None = None, alpha: float = 0.05, fit_woe: bool = True) -> Binner:
+    def fit(self, df: DataFrame, y: str | None = None, features: Sequence[str] | None = None, method: str = "chi", n_bins: int = 5, min_samples: int | float | None = None, monotonic: bool | str | None = None, alpha: float = 0.05, fit_woe: bool = True, pre_bins: int | None = None) -> Binner:
         features = [f for f in (features if features is not None else numeric_columns(df)) if f != y]
-        self.rules_ = fit_splits(df, features, y, method, n_bins, min_samples=min_samples, monotonic=monotonic, alpha=alpha)
+        self.rules_ = fit_splits(df, features, y, method, n_bins, min_samples=min_samples, monotonic=monotonic, alpha=alpha, pre_bins=pre_bins)
         self._data, self._y = df, y
         self.woe_maps_, self.iv_ = {}, {}
         if y and fit_woe:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Sequence
 from statistics import NormalDist
 
@@ -171,19 +172,22 @@ def chimerge_splits(x: np.ndarray, n: np.ndarray, bad: np.ndarray, bins: int, al
     m = len(x)
     if m < 2:
         return []
-    rows, bads = [float(v) for v in n], [float(v) for v in bad]
-    after, before = list(range(1, m + 1)), list(range(-1, m - 1))
-    alive, stamp = [True] * m, [0] * m
-    heap = [(pair_chi2(rows[i], bads[i], rows[i + 1], bads[i + 1]), i, 0, 0) for i in range(m - 1)]
-    heapq.heapify(heap)
-    left = m
+    # arrays, and a heap of new pairs only beside the sorted first ones: lists of numbers take several times the memory
+    rows, bads = array("d", np.asarray(n, float).tobytes()), array("d", np.asarray(bad, float).tobytes())
+    after, before = array("q", range(1, m + 1)), array("q", range(-1, m - 1))
+    alive, stamp = bytearray(b"\1") * m, array("q", bytes(8 * m))
+    first_chi = np.fromiter((pair_chi2(rows[i], bads[i], rows[i + 1], bads[i + 1]) for i in range(m - 1)), float, m - 1)
+    order = array("q", np.argsort(first_chi, kind="stable").tobytes())
+    first_chi = array("d", first_chi.tobytes())
+    heap: list[tuple[float, int, int, int]] = []
+    at, full, left = 0, 1000, m
 
     def merge(i: int) -> None:
-        nonlocal left
+        nonlocal left, heap, full
         j = after[i]
         rows[i] += rows[j]
         bads[i] += bads[j]
-        alive[j] = False
+        alive[j] = 0
         after[i] = after[j]
         if after[i] < m:
             before[after[i]] = i
@@ -193,19 +197,29 @@ def chimerge_splits(x: np.ndarray, n: np.ndarray, bad: np.ndarray, bins: int, al
             if a >= 0 and after[a] < m:
                 b = after[a]
                 heapq.heappush(heap, (pair_chi2(rows[a], bads[a], rows[b], bads[b]), a, stamp[a], stamp[b]))
+        if len(heap) > full:
+            heap = [e for e in heap if current(e)]
+            heapq.heapify(heap)
+            full = len(heap) * 3 // 2 + 1000
 
     def current(entry) -> bool:
         _, a, sa, sb = entry
-        return alive[a] and after[a] < m and stamp[a] == sa and stamp[after[a]] == sb
+        return bool(alive[a]) and after[a] < m and stamp[a] == sa and stamp[after[a]] == sb
 
     threshold = chi2_threshold(alpha)
-    while heap and left > 1:
-        if not current(heap[0]):
+    while left > 1:
+        while heap and not current(heap[0]):
             heapq.heappop(heap)
-        elif left > max(bins, 1) or heap[0][0] < threshold:
-            merge(heapq.heappop(heap)[1])
+        while at < m - 1 and not current((0.0, order[at], 0, 0)):
+            at += 1
+        fresh = heap[0] if heap else None
+        if at < m - 1 and (fresh is None or (first_chi[order[at]], order[at]) < fresh[:2]):
+            chi, i = first_chi[order[at]], order[at]
         else:
+            chi, i = fresh[:2]
+        if left <= max(bins, 1) and not chi < threshold:
             break
+        merge(i)  # makes the pair's entry stale
     starts = [i for i in range(m) if alive[i]]
     if least:
         sizes, hits, first = [rows[i] for i in starts], [bads[i] for i in starts], [x[i] for i in starts]

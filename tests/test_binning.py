@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.functions import bins as B
+from scoreloom.operators import binning
 from scoreloom.operators import binning_kernels as K
 from scoreloom.operators.binning import METHODS, Binner, fit_splits
 
@@ -180,6 +181,34 @@ def test_methods_and_least_rows(frame, method):
     assert rates == sorted(rates) or rates == sorted(rates, reverse=True)
 
 
+@pytest.mark.parametrize("method", ("kmean", "dt", "chi", "opt"))
+def test_every_distinct_value_counts(spark, method, monkeypatch):
+    monkeypatch.setattr(binning, "MAX_VALUES", 500, raising=False)  # no bound by size may come between
+    monkeypatch.setattr(binning, "CELLS", 20, raising=False)
+    rng = np.random.default_rng(11)
+    x = np.r_[rng.random(3000) * 100, np.full(2000, 50.0)]
+    y = (rng.random(5000) < np.where((x > 31.4) & (x < 62.7), 0.7, 0.2)).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int")
+    v, at = np.unique(x, return_inverse=True)
+    n, bad = np.bincount(at).astype(float), np.bincount(at, y)
+    wanted = {
+        "kmean": lambda: K.kmeans_splits(v, n, 4),
+        "dt": lambda: K.tree_splits(v, n, bad, 4, 250),
+        "chi": lambda: K.chimerge_splits(v, n, bad, 4, 0.05, 250),
+        "opt": lambda: K.optimal_splits(v, n, bad, 4, 250, None),
+    }[method]()
+    assert fit_splits(df, ["x"], "y", method, 4)["x"] == pytest.approx(wanted, rel=1e-12) and len(wanted) > 0
+
+
+def test_pre_bins_follow_rows(spark):
+    values = spark.createDataFrame([("x", float(i), 9000 if i == 300 else 1, i % 2) for i in range(1000)] + [("few", float(i), 5, 1) for i in range(3)], "feature string, x double, n long, bad long")
+    got = binning.pre_binned(values, 100).toPandas()
+    few, x = got[got.feature == "few"], got[got.feature == "x"].sort_values("x")
+    assert sorted(few.x) == [0.0, 1.0, 2.0] and few.n.tolist() == [5, 5, 5]
+    assert len(x) <= 100 and x.n.sum() == 9999 and x.bad.sum() == 500
+    assert sorted(x.n)[-2] <= 101 and 9000 in x.n.tolist()
+
+
 def test_binner_contract(frame):
     b = Binner()
     with pytest.raises(ValueError, match="not fitted"):
