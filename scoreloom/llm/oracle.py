@@ -87,7 +87,7 @@ def _unit(text: str) -> str:
 
 SQL["op9_poisson_mix"] = (
     "WITH s AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY 1), q AS (SELECT source, CASE WHEN size > 0 THEN sqrt(size) / (SELECT sum(sqrt(size)) FROM s) * (SELECT sum(size) FROM s) / size ELSE 0 END AS rate FROM s),"
-    " p AS (SELECT source, rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto FROM q, range(0, 400) t(k) WHERE rate > 0),"
+    " p AS (SELECT source, rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT) + 1)) AS k FROM q WHERE rate > 0)),"
     f" d AS (SELECT row_number() OVER () AS i, *, coalesce(CAST(doc_id AS VARCHAR), 'null') AS id, {_unit("'mix-1/' || coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS u FROM documents),"
     " c AS (SELECT d.i, count(*) FILTER (p.upto < d.u) AS n FROM d JOIN p ON p.source IS NOT DISTINCT FROM d.source GROUP BY 1)"
     f" SELECT doc_id, source, text, round(rate, 6) AS rate, CAST(n AS INTEGER) AS n_copies, CAST(j AS INTEGER) AS copy, round({_unit("'mix-1/order/' || id || '/' || j")}, 9) AS shuffle_key FROM (SELECT d.doc_id, d.source, d.text, d.id, q.rate, c.n, unnest(range(1, c.n + 1)) AS j FROM d JOIN c USING (i) JOIN q ON q.source IS NOT DISTINCT FROM d.source)"

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -307,6 +308,24 @@ def test_poisson_counts(spark):
         assert abs(sums[s] / n[s] - rate[s]) < 5 * math.sqrt(rate[s] / n[s])
 
 
+def test_poisson_sql_of_high_rates(spark):
+    docs = pd.DataFrame([(i, "x", f"s{i % 3}") for i in range(3)] + [(3, "y" * 1_000_000, "large"), (4, "z" * 500, None)], columns=["doc_id", "text", "source"])
+    size = docs.assign(n=docs.text.str.len()).groupby("source", dropna=False).n.sum()
+    rate = {None if pd.isna(k) else k: v for k, v in (size**0.5 / (size**0.5).sum() * size.sum() / size).items()}
+    assert rate["s0"] > 900
+    want = {}
+    for r in docs.itertuples():
+        u, m, upto, k = (int(hashlib.md5(f"mix-1/{r.doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, rate[None if pd.isna(r.source) else r.source], 0.0, 0
+        while (upto := upto + math.exp(k * math.log(m) - m - math.lgamma(k + 1))) < u:
+            k += 1
+        want[r.doc_id] = k
+    con = duckdb.connect()
+    con.register("documents", docs)
+    found = collections.Counter(r[0] for r in con.execute(f"SELECT doc_id FROM ({queries.SQL['op9_poisson_mix']})").fetchall())
+    assert found == collections.Counter({k: v for k, v in want.items() if v}) and max(want.values()) > 900
+    assert collections.Counter(r.doc_id for r in poisson_mix.mix(spark.createDataFrame(docs.astype(object).where(docs.notna(), None), "doc_id long, text string, source string")).collect()) == found
+
+
 def test_mix_targets_and_odd(spark, odd):
     docs = odd.withColumn("source", F.when(F.col("doc_id") > 5, "a").when(F.col("doc_id") > 2, "b")).withColumn("copy", F.lit("clash"))
     out = poisson_mix.mix(docs)
