@@ -35,9 +35,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each copy."""
-    out = segment_bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens and ids of each copy, and the digest of the text that the ids decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = segment_bpe.decode(segment_bpe.encode(docs, path), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

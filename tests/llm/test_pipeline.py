@@ -90,3 +90,14 @@ def test_encoding(stages):
         want[row.doc_id, tuple(library.encode(row.text, add_special_tokens=False).ids)] += 1
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in stages[5].itertuples()) == want
     assert (stages[5].n_tokens == stages[5].ids.map(len)).all()
+
+
+def test_decoding(stages):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(stages[5])
+    for row in stages[5].itertuples():
+        text = library.decode(list(row.ids), skip_special_tokens=False)
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
