@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._io import exists, saved
+from ._io import drop, exists, saved
 
 
 @dataclass(frozen=True)
@@ -32,9 +32,10 @@ class Rule:
 # Kinds, in the order in which spans of one start are listed.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(?i:passw|secret|token|api_?key)", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", r"AKIA", 0, 16),
-    Rule("hex", r"[0-9a-f]+", r"[0-9a-f]{32}", 0, 32),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    Rule("access", r"AKIA[A-Z0-9]{12,}", r"AKIA[A-Z0-9]{12}"),
+    Rule("hex", r"[0-9a-f]{32,}", r"[0-9a-f]{32}"),
+    # the whole key, or all that follows its first line where the last one is missing
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"\.eyJ"),
 )
 BASE = ("assign", "access", "hex")
@@ -84,7 +85,9 @@ def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
     """Scans what the ledger lacks of versions (path, text), appends it, and returns (path, blob) of every row, saved.
 
     Findings are written before the list of scans and carry its run; findings of a run that
-    broke off are never read. A null text is the empty blob. Rows of equal text are one blob.
+    broke off are never read, and of runs that scan the same pair at one time only one
+    counts. A null text is the empty blob. Rows of equal text are one blob. An empty table
+    leaves an empty ledger; columns but path and text are not read.
     """
     spark = versions.sparkSession
     own = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
@@ -104,12 +107,14 @@ def update(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) ->
     found.write.mode("append").parquet(f"{ledger}/findings")
     scans = todo.select("blob", F.explode("rules").alias("rule"))
     scans.select("blob", "rule", version[F.col("rule")].alias("version"), F.lit(run).alias("run")).write.mode("append").parquet(f"{ledger}/scans")
+    drop(todo)
     return paths
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(blob, rule, start, end) that the ledger holds under these versions of the rules."""
-    scans = _part(spark, ledger, "scans", _SCANS)
+    # runs at one time may both have scanned a pair: the one of the smallest name counts
+    scans = _part(spark, ledger, "scans", _SCANS).groupBy("blob", "rule", "version").agg(F.min("run").alias("run"))
     now = F.lit(False)
     for r in rules:
         now = now | ((F.col("rule") == r.name) & (F.col("version") == r.version))
@@ -136,7 +141,12 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, spans: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs (text and any other columns) with the spans of their blobs replaced by mark, overlapping ones by one."""
+    """docs (text and any other columns) with the spans of their blobs replaced by mark, overlapping ones by one.
+
+    A null text stays null, an empty one empty; rows without a finding, repeated ones
+    included, stay as they are. spans: from by_blob; several spans of one start may differ
+    in length.
+    """
     spans = spans.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("kept"))
 

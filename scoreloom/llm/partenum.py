@@ -16,36 +16,23 @@ size bands. A task gives back only links that span what it linked.
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._graph import merged
-from ._io import drop, saved
+from ._io import drop, saved, shuffles_cleaned
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Signatures that a task holds before it deals them out.
 _FLUSH = 1 << 20
 
 
-@contextlib.contextmanager
-def _shuffles_cleaned(spark: SparkSession):
-    """Files of a finished query's shuffles go at once instead of when the driver collects garbage."""
-    old = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(_CLEAN) if old is None else spark.conf.set(_CLEAN, old)
-
-
 def shingle_sets(block: T.Block, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of the block's texts, text after text and sorted, and their number by text."""
     lower = T.LOWER[block.data]
@@ -477,7 +464,7 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    with _shuffles_cleaned(spark):
+    with shuffles_cleaned(spark):
         sized = saved(_sets(docs, words), "partenum-sized")
         ties = saved(_tied(docs.where("doc_id is not null"), words, percent), "partenum-ties", slim="heavy")
         known = sized.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anisotropic, blob_ledger, crf_training, hash_tree, license_search, line_quality, line_rules, partenum, poisson_mix, segment_bpe, warc
-from ._io import fresh, read
+from ._io import drop, fresh, read, shuffles_cleaned
 from .oracle import SQL
 
 
@@ -20,8 +20,12 @@ def op2_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the first knows the English documents, the second all of them, and scans what the ledger lacks."""
     ledger = fresh(spark, "ledger")
-    paths = blob_ledger.update(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"), ledger)
+    versions = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", "lang")
+    with shuffles_cleaned(spark):
+        drop(blob_ledger.update(versions.where("lang = 'en'"), ledger))
+        paths = blob_ledger.update(versions, ledger)
     out = blob_ledger.by_path(paths, blob_ledger.by_blob(blob_ledger.findings(spark, ledger)))
     base = F.filter("spans", lambda x: x["rule"].isin(*blob_ledger.BASE))
     counts = [F.size(F.filter(F.transform("spans", lambda x: x["rule"]), F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in blob_ledger.BASE]

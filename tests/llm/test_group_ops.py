@@ -169,6 +169,28 @@ def test_ledger_empty_and_redaction(spark):
     assert collections.Counter((r.path, r.text) for r in out.collect()) == collections.Counter((p, masked(t)) for p, t in SECRETS)
 
 
+KEY = "-----BEGIN RSA PRIVATE KEY-----\nMIIEowIBAAKCAQEA\nabcd/+==\n-----END RSA PRIVATE KEY-----"
+
+
+def test_private_keys_go_whole(spark):
+    texts = [("a", f"before {KEY} after"), ("b", f"{KEY[:60]}\ncut off"), ("c", f"x {KEY}{KEY} y"), ("d", "a PRIVATE KEY----- alone")]
+    ledger = fresh(spark, "test-ledger")
+    df = spark.createDataFrame(texts, "path string, text string")
+    blob_ledger.update(df, ledger)
+    out = blob_ledger.redacted(df, blob_ledger.by_blob(blob_ledger.findings(spark, ledger)))
+    assert {r.path: r.text for r in out.collect()} == {"a": "before [secret] after", "b": "[secret]", "c": "x [secret][secret] y", "d": texts[3][1]}
+
+
+def test_runs_at_one_time_count_once(spark):
+    ledger = fresh(spark, "test-ledger")
+    df = spark.createDataFrame(SECRETS[:1], "path string, text string")
+    blob_ledger.update(df, ledger)
+    own = blob_ledger.findings(spark, ledger).collect()
+    for part in ("scans", "findings"):  # as if another run had scanned the same meanwhile
+        spark.read.parquet(f"{ledger}/{part}").withColumn("run", F.lit("zz")).write.mode("append").parquet(f"{ledger}/{part}")
+    assert sorted(blob_ledger.findings(spark, ledger).collect()) == sorted(own)
+
+
 # ---- nearest neighbours
 
 
