@@ -70,8 +70,7 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), path)
-    own = F.col("payload")
-    return warc.captures(spark, path).select("page_id", F.coalesce(F.octet_length(own).cast("long"), "size").alias("payload_bytes"), F.coalesce(F.sha1(own.cast("binary")), "digest").alias("payload_digest"), "record_type", "refers_to", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
+    return warc.captures(spark, path).select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -284,13 +285,35 @@ def test_warc_round_trip(spark):
     for r in rows:
         assert len(r.requests) == len(r.metadata) == 1
         if r.record_type == "response":
-            assert hashlib.sha1(r.payload.encode()).hexdigest() == r.digest
-        assert r.requests[0].block.startswith("GET /")
+            assert hashlib.sha1(r.payload).hexdigest() == r.digest
+        assert r.requests[0].block.startswith(b"GET /")
     empty = fresh(spark, "test-warc")
     warc.write(df.where("1=0"), empty)
     assert warc.captures(spark, empty).count() == 0
 
 
+def test_warc_any_bytes(spark):
+    """Payloads and urls that aren't UTF-8, urls with outer blanks, a payload longer than a member and than a file."""
+    raw = b"\xff\xfe broken \x00\r\n\r\n" * 80
+    pages = [(1, b" http://a.b/ x ", raw), (2, b"\xff\xfeurl", raw), (3, b"http://c.d", b"\x00" * 17_000_000), (4, b"", b"z" * 40)]
+    df = spark.createDataFrame(pages, "page_id long, url binary, html binary").select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    path = fresh(spark, "test-warc")
+    warc.write(df, path, file_bytes=300)
+    rows = {r.page_id: r for r in warc.captures(spark, path).collect()}
+    assert {i: bytes(r.target) for i, r in rows.items()} == {i: u for i, u, _ in pages}
+    assert rows[2].record_type == "response" and bytes(rows[2].payload) == raw and rows[1].refers_to == 2
+    assert rows[3].size == 17_000_000 and rows[3].digest == hashlib.sha1(pages[2][2]).hexdigest()
+    files = spark.read.format("binaryFile").load(path).where("length > 0").collect()
+    assert len(files) == len(pages)
+    for f in files:  # one member a record
+        data, members = bytes(f.content), []
+        while data:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(data))
+            data = d.unused_data
+        assert sum(m.startswith(b"WARC/1.1") for m in members) == 3 and len(members) <= 4
+
+
 def test_warc_parser_members():
     record = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 5\r\n\r\na\r\n\r\n\r\n\r\n"
     several = gzip.compress(record) + gzip.compress(record)
