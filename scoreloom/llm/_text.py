@@ -30,6 +30,7 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 SPACE = byte_set((0x20, 0x20), (0x09, 0x0D))
 #: [\x00-\x2F\x3A-\x60\x7B-\x7F], for lower-cased texts.
 NOT_ALNUM = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
+BREAK = byte_set((0x0A, 0x0A))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: First bytes of code points.
@@ -127,24 +128,67 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers: list[np.ndarray] = []
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n + 1, BLOCK_BYTES + 1)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _powers[0], _powers[1]
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the bytes of one piece."""
+    up, down = np.full(BLOCK_BYTES + 1, _BASE, np.uint64), np.full(BLOCK_BYTES + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """The sum of one span longer than a piece, a piece at a time."""
+    up, _ = _power_tables()
+    total, shift = 0, 1
+    for at in range(0, len(data), BLOCK_BYTES):
+        piece = data[at : at + BLOCK_BYTES]
+        total = (total + shift * int((_BYTE[piece] * up[: len(piece)]).sum(dtype=np.uint64))) % (1 << 64)
+        shift = shift * pow(_BASE, BLOCK_BYTES, 1 << 64) % (1 << 64)
+    return np.uint64(total)
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    up, down = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each span's bytes, the same wherever the span stands. Spans are in order and don't overlap; memory follows BLOCK_BYTES."""
+    up, down = _power_tables()
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        to = max(int(np.searchsorted(ends, begin + BLOCK_BYTES, side="right")), at + 1)
+        end = int(ends[to - 1])
+        if end - begin > BLOCK_BYTES:
+            out[at] = _long_hash(data[begin:end])
+        else:
+            piece = data[begin:end]
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_BYTE[piece] * up[: len(piece)], out=total[1:])
+            a = starts[at:to] - begin
+            out[at:to] = (total[ends[at:to] - begin] - total[a]) * down[a]
+        at = to
+    return mix(out + (ends - starts).astype(np.uint64) * _LENGTH)
+
+
+def pieces(data: np.ndarray, apart: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Cuts a text after bytes of the set `apart` into runs of about `limit` bytes; what holds none for longer is a run of its own."""
+    at = 0
+    while at < len(data):
+        to = min(at + limit, len(data))
+        if to < len(data):
+            last = np.flatnonzero(apart[data[at:to]])
+            if len(last):
+                to = at + int(last[-1]) + 1
+            else:
+                while to < len(data):
+                    found = np.flatnonzero(apart[data[to : to + limit]])
+                    if len(found):
+                        to += int(found[0]) + 1
+                        break
+                    to = min(to + limit, len(data))
+        yield at, to
+        at = to
 
 
 def shingles(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,3 +218,11 @@ def seen_before(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out = np.empty((2, len(key)), bool)
     out[0, order], out[1, order] = same, again
     return out[0], out[1]
+
+
+def repeated(key: np.ndarray) -> np.ndarray:
+    """For each entry: whether an earlier one has the same key."""
+    order = np.argsort(key, kind="stable")
+    out = np.zeros(len(key), bool)
+    out[order[1:]] = key[order[1:]] == key[order[:-1]]
+    return out

@@ -21,11 +21,12 @@ HELD_OUT = 1
 
 
 def fold(column: str = "doc_id"):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 3
+    """The remainder; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 3
 
 
 def _scores(texts: pa.Array, model: C.Model) -> np.ndarray:
-    parts = [C.text_score(model, C.line_inputs(b)) for b in T.blocks(texts)]
+    parts = [C.text_score(model, C.scored(b, model)) for b in T.blocks(texts)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -33,7 +34,8 @@ def score(docs: DataFrame, model: C.Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs (doc_id, text; other columns are not read).
 
     A null, empty or blank text scores as the sample's share of label 1, calibrated. Equal
-    texts score equally. One narrow pass over whole texts, without a shuffle.
+    texts score equally, repeated rows give repeated results, an empty table none. One
+    narrow pass over whole texts, without a shuffle.
     """
 
     @T.tidied
@@ -45,7 +47,7 @@ def score(docs: DataFrame, model: C.Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: C.Model, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores at least `least`."""
+    """The rows of docs, with all their columns whatever their names, whose text scores at least `least`; repeated rows share their fate, null and empty texts are scored by the prior."""
 
     @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

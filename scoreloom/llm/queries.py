@@ -12,7 +12,7 @@ from .oracle import SQL
 
 def op1_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return line_rules.judge(docs, crf_training.fit_lines(docs, read(spark, sf_dir, "labels")))
+    return line_rules.judge(docs, crf_training.fit_lines(docs, read(spark, sf_dir, "labels"), bags=True))
 
 
 def op2_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,31 +83,118 @@ def brute_chain(emit, move):
     return good, max(scores, key=scores.get), top + math.log(z)
 
 
-def test_chain_against_enumeration():
+@pytest.mark.parametrize("width", [1, 2, 3, 512])
+def test_chain_against_enumeration(width):
     rng = np.random.default_rng(1)
-    lengths = [1, 5, 2, 7, 3]
-    doc = np.repeat(np.arange(5), lengths)
-    emit, move = rng.normal(size=(len(doc), 2)) * 2, rng.normal(size=(2, 2))
-    good, pairs, _, log_z = C.forward_backward(emit, doc, move)
-    path = C.viterbi(emit, doc, move)
-    total = 0.0
-    for d in range(5):
+    lengths = [1, 5, 2, 7, 3, 11]
+    doc = np.repeat(np.arange(6), lengths)
+    z, move = rng.normal(size=len(doc)) * 3, rng.normal(size=(2, 2))
+    good, pairs, log_z = C.forward_backward(z, doc, move, width)
+    assert np.allclose(C.marginals(z, doc, move, width), good)
+    path = C.viterbi(z, doc, move, width)
+    wanted, wanted_pairs = 0.0, np.zeros((2, 2))
+    for d in range(6):
         at = doc == d
-        g, p, z = brute_chain(emit[at], move)
-        assert np.allclose(good[at], g) and tuple(path[at]) == p and np.allclose(log_z[at], z)
-        total += at.sum() - 1
-    assert np.isclose(pairs.sum(), total)
+        g, p, partition = brute_chain([(0.0, x) for x in z[at]], move)
+        assert np.allclose(good[at], g) and tuple(path[at]) == p
+        wanted += partition
+    assert np.isclose(log_z, wanted) and np.isclose(pairs.sum(), len(doc) - 6)
+    # pair sums are the slopes of the log partition
+    for a in (0, 1):
+        for b in (0, 1):
+            moved = move.copy()
+            moved[a, b] += 1e-5
+            wanted_pairs[a, b] = (C.forward_backward(z, doc, moved, width)[2] - log_z) / 1e-5
+    assert np.allclose(pairs, wanted_pairs, atol=1e-3)
 
 
 def test_chain_gradient():
     rng = np.random.default_rng(2)
-    lines = C.Lines(np.repeat(np.arange(6), 3), np.ones(18), (rng.random((18, C.OWN)) < 0.2).astype(np.float32), 6)
+    own = (C._BEGINS[:-1] + rng.integers(0, 2, (18, C.INPUTS))).astype(np.uint8)
+    lines = C.Lines(np.repeat(np.arange(6), 3), np.ones(18), own, 6)
     label = np.array([0, 1, 1, 0, 1, 0])
-    fitted = C.fit(lines, label, rounds=60)
-    score = C.weighted_mean(lines, fitted.marginals(lines), 0.5)
+    fitted = C.fit(lines, label[lines.doc], rounds=60)
+    score = C.weighted_mean(lines, C.marginals(fitted.emit(lines), lines.doc, fitted.move), 0.5)
     assert ((score > 0.5) == (label == 1)).all()
 
 
+def as_block(*texts):
+    return next(T.blocks(pa.array(texts)))
+
+
+def test_long_texts_in_pieces():
+    """A text read in pieces gives what it gives whole: counts, scores, states, hashes."""
+    rng = random.Random(3)
+    words = ["alpha", "beta!!", "g", "| x", "ÉÉ", "***", "12,5", "w" * 90]
+    m = model(5)
+    for lines in (1, 3, 400):
+        text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) for _ in range(lines)) + "\n"
+        block = as_block(text)
+        whole, parts = C.scored(block, m), C.scored(block, m, limit=64)
+        assert np.allclose(whole.z, parts.z, atol=1e-4) and (whole.again == parts.again).all() and (whole.length == parts.length).all()
+        a, b = line_rules.counts(block), line_rules.counts(block, limit=64)
+        assert {k: list(v) for k, v in a.items()} == {k: list(v) for k, v in b.items()}
+    long = np.frombuffer(("x" * 3_000_000 + " " + "x" * 3_000_000 + " y").encode(), np.uint8)
+    spans = T.spans(long, np.array([0, len(long)]), T.SPACE)
+    h = T.hashes(long, spans.starts, spans.ends)
+    assert h[0] == h[1] != h[2] and h[2] == T.hashes(np.array([121], np.uint8), np.array([0]), np.array([1]))[0]
+    cut = T.hashes(np.r_[long[:3_000_000]], np.array([0, 1_000_000]), np.array([1_000_000, 3_000_000]))
+    assert cut[0] == T.hashes(long[:1_000_000], np.array([0]), np.array([1_000_000]))[0]
+
+
+@pytest.mark.parametrize("text", ["ab c\n" * 2_000_000, "a\n" * 5_000_000, "some words " * 900_000, "w" * 10_000_000])
+def test_long_texts_memory(text):
+    """Ten MB of short lines, or of one line, need some 30 bytes a byte of text at the most."""
+    import tracemalloc
+
+    block, m = as_block(text), model(6)
+    C.scored(as_block("x y\n" * 10), m)
+    tracemalloc.start()
+    line_rules.counts(block)
+    lines = C.scored(block, m)
+    C.text_score(m, lines)
+    line_rules.states(lines, m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(text)
+
+
+CLEAN = "The river carried the boats down to the harbour, where merchants waited with their wares and the children watched."
+JUNK = ["BUY!! NOW!! FREE!! OFFER!! CLICK!! HERE!!", "a | b | c | d | e | f | g | h | i | j", "*** $$$ &&& ### *** $$$ &&& ### *** $$$"]
+
+
+def test_fields_of_lines_from_labels_of_texts(spark):
+    """Good texts with junk lines and bad ones with clean lines: lines are told apart, shares lie inside (0, 1)."""
+    rng = random.Random(4)
+    vocabulary = CLEAN.replace(",", "").replace(".", "").split()
+
+    def clean():
+        return " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(8, 25))).capitalize() + "."
+
+    texts, label, truth = [], [], []
+    for i in range(300):
+        good = i % 3 > 0
+        odd = {rng.randrange(8) for _ in range(rng.randrange(0, 3))}
+        kinds = [good != (k in odd) for k in range(8)]
+        texts.append("\n".join(clean() if k else rng.choice(JUNK) for k in kinds))
+        label.append(int(good))
+        truth += kinds
+    block = as_block(*texts)
+    lines = C.line_inputs(block)
+    m = C.fit_bags(lines, np.array(label))
+    states = C.viterbi(m.emit(lines), lines.doc, m.move)
+    assert (states == np.array(truth)).mean() > 0.99
+    share = C.weighted_mean(lines, states, np.nan)
+    assert ((share > 0) & (share < 1)).sum() > 150
+    mixed = "\n".join([CLEAN, JUNK[0], CLEAN, CLEAN, JUNK[2], JUNK[1]])
+    own = C.scored(as_block(mixed), m)
+    assert list(line_rules.states(own, m)) == [1, 0, 1, 1, 0, 0]
+    junk = "\n".join([*JUNK, *JUNK, CLEAN, *JUNK])
+    rows = line_rules.judge(spark.createDataFrame([(1, "\n".join([mixed] * 3)), (2, junk), (3, CLEAN)], "doc_id int, text string"), m).collect()
+    assert [(r.doc_id, r.n_lines, r.n_content, r.base_failed) for r in rows[1:]] == [(2, 10, 1, True), (3, 1, 1, True)]
+    assert 0.5 < rows[0].content_share < 1 and rows[0].n_content == 9 and 0 < rows[1].content_share < 0.5
+
+
 def test_line_quality_odd_and_labels(spark, odd, none):
     m = model()
     rows = line_quality.score(odd, m).collect()
@@ -133,6 +220,28 @@ def test_line_quality_held_out(spark):
     rules = queries.op1_line_rules(spark, SF).toPandas().set_index("doc_id").join(labels, how="inner")
     rules = rules[~rules.base_failed]
     assert rules[rules.quality == 1].kept.mean() > 0.97 and rules[rules.quality == 0].kept.mean() < 0.2
+    inside = (rules.content_share > 0) & (rules.content_share < 1)
+    assert inside.any() and (rules.n_content[inside] < rules.n_lines[inside]).all()
+
+
+def test_rules_and_scores_against_plain(spark):
+    """kept and score of every document, from enumerated chains of the texts' own lines."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").limit(60)
+    m = model(9)
+    kept = {r.doc_id: r for r in line_rules.judge(docs, m).collect()}
+    scores = {r.doc_id: r.score for r in line_quality.score(docs, m).collect()}
+    for r in docs.collect():
+        lines = C.line_inputs(as_block(r.text))
+        z = m.emit(lines)
+        if not 0 < len(z) <= 12:
+            continue
+        good, path, _ = brute_chain([(0.0, x) for x in z], m.move)
+        length = lines.length.astype(float)
+        share = float((length * np.array(path)).sum() / length.sum())
+        assert np.isclose(kept[r.doc_id].content_share, share)
+        assert kept[r.doc_id].kept == (not kept[r.doc_id].base_failed and share >= 0.5)
+        mean = np.clip((length * np.array(good)).sum() / length.sum(), 1e-6, 1 - 1e-6)
+        assert np.isclose(scores[r.doc_id], mean, atol=1e-6)
 
 
 # ---- licences
