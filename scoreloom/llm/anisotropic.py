@@ -1,13 +1,17 @@
 """Largest inner products by score-aware quantisation.
 
-Vectors are cut into pairs of dimensions with 16 centres each. Codes and centres minimise
-an anisotropic loss: the part of the residual along the vector, which changes its large
-inner products most, weighs `eta` times the part across. A query makes a table of 16
-numbers for each pair of dimensions; four-bit codes look them up in blocks of rows, and
-the best of each block are ranked again by exact inner products.
-
-Equal vectors are one class, with their smallest ids. Every class is indexed and scanned;
-queries come in blocks of bounded size, each sent to all tasks.
+What a vector is beyond its partition's centre is cut into pairs of dimensions with 16
+centres each. Codes and centres minimise an anisotropic loss: the part of the error along
+the vector, which changes its large inner products most, weighs `eta` times the part across.
+A query makes a table of 16 numbers for each pair of dimensions; four-bit codes look them
+up, and a fixed number of the best of all that it looked up are ranked again by exact inner
+products. What the sample shows to be far below these is not handed on.
+
+Tables are dealt to partitions around coarse centres. A query reads those whose
+centres promise most, as many as a measurement on the sample found enough, and as hold
+enough rows. Partitions are cut into blocks of bounded rows and their queries into chunks,
+so a task compares one chunk with one block, however common a vector or a direction is.
+Equal vectors are one class, with their smallest ids; every class is indexed.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._io import saved
+from ._io import drop, saved, shuffles_cleaned
 
-#: Vectors that the centres are fitted on, at most: those of the smallest hashes.
+#: Vectors that centres and the number of partitions read are fitted on, at most: those of the smallest hashes.
 SAMPLE = 16_384
-#: Queries sent to the tasks at once, about.
-QUERIES = 8_192
-#: Index rows scanned at once; of these one in SHARE, and LEAST at least, is ranked exactly for a query.
-ROWS, SHARE, LEAST = 8_192, 16, 128
+#: Rows of a partition, about, and partitions at most; beyond, partitions grow.
+PART_ROWS, PARTS = 4_096, 1_024
+#: Rows of a block and queries of a chunk, about.
+ROWS, CHUNK = 8_192, 2_048
+#: Rough best of a query, over all that it reads, that are ranked exactly, and by how much more than so many the sample's floor must let pass.
+DEPTH, SLACK = 768, 1.5
+#: Share of true neighbours on the sample that the partitions read must hold, and queries that measure it.
+RECALL, MEASURED = 0.985, 256
 #: Cosine from which inner products should be right (threshold of the loss).
 THRESHOLD = 0.2
 
@@ -47,10 +55,10 @@ class Quantiser:
         """rows x pairs x 2, an odd last dimension filled up with 0."""
         return np.pad(x, ((0, 0), (0, x.shape[1] % 2))).reshape(len(x), -1, 2)
 
-    def codes(self, x: np.ndarray, rounds: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on the anisotropic loss, from the nearest centres."""
-        parts = self.cut(x)
-        unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
+    def codes(self, x: np.ndarray, base: np.ndarray | float = 0.0, rounds: int = 2) -> np.ndarray:
+        """Codes of x - base by coordinate descent on the anisotropic loss of x, from the nearest centres."""
+        parts = self.cut(x - base)
+        unit = self.cut(x) / np.linalg.norm(x, axis=1)[:, None, None]
         n, m, _ = parts.shape
         residual = parts[:, :, None, :] - self.centres[None]  # rows x pairs x 16 x 2
         plain, along = (residual**2).sum(3), np.einsum("nmkd,nmd->nmk", residual, unit)
@@ -64,10 +72,10 @@ class Quantiser:
                 total = rest + along[rows, j, code[:, j]]
         return code.astype(np.uint8)
 
-    def refit(self, x: np.ndarray, code: np.ndarray) -> None:
+    def refit(self, x: np.ndarray, code: np.ndarray, base: np.ndarray | float = 0.0) -> None:
         """Centres that minimise the loss for these codes, one pair of dimensions after another."""
-        parts = self.cut(x)
-        unit = parts / np.linalg.norm(x, axis=1)[:, None, None]
+        parts = self.cut(x - base)
+        unit = self.cut(x) / np.linalg.norm(x, axis=1)[:, None, None]
         w = self.weight - 1
         taken = np.take_along_axis(self.centres[None], code[:, :, None, None].astype(int), 2)[:, :, 0]
         total = ((parts - taken) * unit).sum((1, 2))
@@ -83,6 +91,10 @@ class Quantiser:
             taken[:, j] = self.centres[j, code[:, j]]
             total = rest + ((p - taken[:, j]) * u).sum(1)
 
+    def rebuilt(self, code: np.ndarray) -> np.ndarray:
+        """What the codes stand for."""
+        return np.take_along_axis(self.centres[None], code[:, :, None, None].astype(int), 2)[:, :, 0].reshape(len(code), -1)[:, : self.width]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries x bytes x 256: inner products with two pairs' centres for each byte of two codes."""
         parts = self.cut(queries)
@@ -98,20 +110,62 @@ def packed(code: np.ndarray) -> np.ndarray:
     return (code[:, 0::2] << 4) | code[:, 1::2]
 
 
-def fit(sample: np.ndarray, rounds: int = 6) -> Quantiser:
+def fit(sample: np.ndarray, base: np.ndarray | float = 0.0, rounds: int = 6) -> Quantiser:
     """Centres from a sample, by Lloyd's steps and then anisotropic ones. The same sample gives the same centres."""
     width = sample.shape[1]
-    parts = Quantiser(np.zeros((0, 16, 2)), 1.0, width).cut(sample)
+    parts = Quantiser(np.zeros((0, 16, 2)), 1.0, width).cut(sample - base)
     at = np.linspace(0, len(sample) - 1, 16).astype(int)
     centres = np.stack([parts[np.lexsort((parts[:, j, 1], parts[:, j, 0]))[at], j] for j in range(parts.shape[1])])
     own = Quantiser(centres.astype(float), 1.0, width)
     for i in range(2 * rounds):
         own.weight = 1.0 if i < rounds else eta(width)
-        own.refit(sample, own.codes(sample, 0 if i < rounds else 2))
+        own.refit(sample, own.codes(sample, base, 0 if i < rounds else 2), base)
     own.weight = eta(width)
     return own
 
 
+class Coarse:
+    """Centres of partitions, and how many of them a query reads."""
+
+    def __init__(self, sample: np.ndarray, parts: int, k: int, rounds: int = 10):
+        """Lloyd's steps from evenly spread vectors of the sample. The same sample gives the same centres."""
+        self.centres = sample[np.linspace(0, len(sample) - 1, min(parts, len(sample))).astype(int)].copy()
+        for _ in range(rounds if parts > 1 else 1):
+            part = self.nearest(sample)
+            counts = np.bincount(part, minlength=len(self.centres))
+            sums = np.stack([np.bincount(part, sample[:, d], len(self.centres)) for d in range(sample.shape[1])], 1)
+            self.centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], self.centres)
+        self.reads = self._measured(sample, k) if parts > 1 else 1
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        half = (self.centres**2).sum(1) / 2
+        return np.concatenate([(x[at : at + 4096] @ self.centres.T - half).argmax(1) for at in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """Partitions of each query, the most promising first."""
+        return np.argsort(-(queries @ self.centres.T), axis=1, kind="stable")
+
+    def _measured(self, sample: np.ndarray, k: int) -> int:
+        part = self.nearest(sample)
+        at = np.linspace(0, len(sample) - 1, min(MEASURED, len(sample))).astype(int)
+        scores = sample[at] @ sample.T
+        scores[np.arange(len(at)), at] = -np.inf
+        k = min(k, len(sample) - 1)
+        best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        place = np.argsort(self.order(sample[at]), axis=1)  # of each partition in the query's order
+        found = np.sort(np.take_along_axis(place, part[best], 1).ravel())
+        return int(found[min(int(np.ceil(RECALL * len(found))), len(found)) - 1]) + 1
+
+    def read(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The partitions that each query reads: `reads` of those with rows, and more while they hold fewer than `least` rows."""
+        order = self.order(queries)
+        held = sizes[order]
+        number = np.cumsum(held > 0, axis=1)
+        before = np.cumsum(held, axis=1) - held
+        take = (held > 0) & ((number <= self.reads) | (before < least))
+        return [order[i][take[i]].astype(np.int32) for i in range(len(order))]
+
+
 def _usable(column: Column, width: int) -> Column:
     """No null, no odd length, no null or non-finite component, not zero."""
     whole = ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -141,119 +195,167 @@ def _classes(rows: DataFrame, width: int, ids: int) -> DataFrame:
     return met.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, ids).alias("ids"))
 
 
-def _merge(best: tuple[np.ndarray, np.ndarray], score: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `keep` best of what was best and more, by larger score, then smaller id; ids below 0 are none."""
-    score, ids = np.concatenate([best[0], score], 1), np.concatenate([best[1], ids], 1)
-    score = np.where(ids < 0, -np.inf, score)
-    order = np.lexsort((ids, -score), axis=1)[:, :keep]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+_SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
+def _one_vector(own: DataFrame) -> DataFrame:
+    """own with one vector an id: of several different ones under one vec_id, that of the smallest hash."""
+    hashed = own.withColumn("h", F.xxhash64("embedding"))
+    several = saved(hashed.groupBy("vec_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high").select(F.col("vec_id").alias("several"), "low"), "anisotropic-several", slim="light")
+    if several.isEmpty():
+        drop(several)
+        return own
+    return hashed.join(several, F.col("vec_id") == F.col("several"), "left").where("low is null or low = h").select(*own.columns)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows of the largest inner products with each query, of vectors (vec_id, embedding; other columns are not read).
 
     Queries are the rows for which is_query holds; a query's own vec_id is no candidate. Ties
     of the exact score go to the smaller vec_id. Vectors that are null, zero, of another
     length than most, or hold null or non-finite components take no part, nor do rows
-    without a vec_id; rows repeated under one vec_id count once. Fewer candidates than k are
-    all returned; without queries the result is empty.
+    without a vec_id; rows repeated under one vec_id count once, and of different vectors
+    under one vec_id one counts, that of the smallest hash. Fewer candidates than k are all
+    returned; without queries the result is empty.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    own = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
+    own = vectors.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + 0.0).alias("embedding"), is_query.alias("is_query"))
     found = own.select(F.size("embedding").alias("n")).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not found:
-        return spark.createDataFrame([], schema)
-    width = found[0]["n"]
+        return spark.createDataFrame([], _SCHEMA)
+    width, total = found[0]["n"], found[0]["count"]
     own = own.where(_usable(F.col("embedding"), width))
-    drawn = own.select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding").orderBy("h", "vec_id").limit(sample).select("embedding").toArrow()  # at most `sample` rows
+    drawn = own.select(F.xxhash64("vec_id").alias("h"), "vec_id", "embedding").orderBy("h", "vec_id", "embedding").limit(sample).select("embedding").toArrow()  # at most `sample` rows
     if not drawn.num_rows:
-        return spark.createDataFrame([], schema)
-    quantiser = fit(_matrix(drawn.column("embedding").combine_chunks(), width))
+        return spark.createDataFrame([], _SCHEMA)
+    drawn = _matrix(drawn.column("embedding").combine_chunks(), width)
     keep = k + 1  # the query itself may be among the best
+    coarse = Coarse(drawn, min(max(total // PART_ROWS, 1), PARTS), k)
+    own_centres = coarse.centres[coarse.nearest(drawn)]
+    quantiser = fit(drawn, own_centres)
+    seen_rows = (own_centres + quantiser.rebuilt(quantiser.codes(drawn, own_centres))).astype(np.float32)
+    # the place among the sample's rough scores below which no row of the best `depth` is to be expected
+    place = int(SLACK * depth * len(drawn) / total) + 10
+    with shuffles_cleaned(spark):
+        own = _one_vector(own)
+        index = saved(_indexed(_classes(own.select("vec_id", "embedding"), width, keep), quantiser, coarse, width), "anisotropic-index")
+        sizes = np.zeros(len(coarse.centres), np.int64)
+        for r in index.groupBy("part").count().collect():  # PARTS rows at most
+            sizes[r["part"]] = r["count"]
+        queries = own.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+        queries = saved(queries.withColumn("vector", F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ",").cast("binary"), 256)), "anisotropic-queries")
+        # a vector is sought once, whatever the number of its queries
+        seen = queries.groupBy("vector").agg(F.min("query_id").alias("sought"))
+        once = queries.join(seen, "vector").where("query_id = sought").select("sought", "embedding")
+        sought = saved(_reading(once, coarse, sizes, width, depth, seen_rows, place), "anisotropic-sought")
+        near = saved(_near(index, sought, quantiser, coarse, sizes, width, keep, depth), "anisotropic-found")
+        drop(index)
+        drop(sought)
+    pairs = queries.select("query_id", "vector").join(seen, "vector").select("query_id", "sought").join(near, "sought").where("vec_id != query_id")
+    return _best(pairs.select("query_id", "vec_id", "score"), "query_id", k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(df: DataFrame, by: str, k: int, order: str = "score", tie: str = "vec_id") -> DataFrame:
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order), tie))).where(F.col("rank") <= k)
+
+
+def _indexed(classes: DataFrame, quantiser: Quantiser, coarse: Coarse, width: int) -> DataFrame:
+    """key (the smallest id), ids, embedding, code and part of each class."""
 
     @T.tidied
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                code = packed(quantiser.codes(_matrix(part.column("embedding"), width)))
-                yield pa.RecordBatch.from_arrays([part.column("ids"), part.column("embedding"), pa.array([x.tobytes() for x in code], pa.binary())], ["ids", "embedding", "code"])
-
-    index = saved(_classes(own.select("vec_id", "embedding"), width, keep).mapInArrow(indexed, "ids array<long>, embedding array<double>, code binary"), "anisotropic-index")
-    queries = own.where("is_query").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    queries = saved(queries.withColumn("vector", F.sha2(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary"), 256)), "anisotropic-queries")
-    # a vector is sought once, whatever the number of its queries
-    seen = queries.groupBy("vector").agg(F.min("query_id").alias("sought"))
-    sought = saved(queries.join(seen, "vector").where("query_id = sought").select("sought", "embedding").dropDuplicates(["sought"]), "anisotropic-sought")
-    waves = max(1, -(-sought.count() // QUERIES))
-    results = []
-    for wave in range(waves):
-        table = sought.where(F.pmod(F.xxhash64("sought"), F.lit(waves)) == wave).toArrow()  # QUERIES rows, about
-        if not table.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((table.column("sought").to_numpy(), _matrix(table.column("embedding").combine_chunks(), width)))
-        results.append(saved(index.mapInArrow(_scan(sent, quantiser, width, keep), "sought long, vec_id long, score double").transform(lambda df: _best(df, "sought", keep)).drop("rank"), "anisotropic-found"))
-    if not results:
-        return spark.createDataFrame([], schema)
-    near = results[0]
-    for more in results[1:]:
-        near = near.unionByName(more)
-    pairs = queries.select("query_id", "vector").join(seen, "vector").select("query_id", "sought").distinct().join(near, "sought").where("vec_id != query_id")
-    return _best(pairs.select("query_id", "vec_id", "score"), "query_id", k).select("query_id", "rank", "vec_id", "score")
+                x = _matrix(part.column("embedding"), width)
+                nearest = coarse.nearest(x)
+                code = packed(quantiser.codes(x, coarse.centres[nearest]))
+                yield pa.RecordBatch.from_arrays([part.column("ids"), part.column("embedding"), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(nearest.astype(np.int32))], ["ids", "embedding", "code", "part"])
 
+    return classes.mapInArrow(run, "ids array<long>, embedding array<double>, code binary, part int").withColumn("key", F.get("ids", F.lit(0)))
 
-def _best(df: DataFrame, by: str, k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
+def _reading(queries: DataFrame, coarse: Coarse, sizes: np.ndarray, width: int, least: int, seen: np.ndarray, place: int) -> DataFrame:
+    """queries (sought, embedding) with the partitions that each reads, and the score of `place` among the sample's rows."""
+    sent = queries.sparkSession.sparkContext.broadcast(seen)  # the sample
 
-def _scan(sent, quantiser: Quantiser, width: int, keep: int):
     @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = sent.value
-        best = (np.full((len(names), 0), -np.inf), np.full((len(names), 0), -1, np.int64))
-
-        def block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            x = _matrix(table.column("embedding").combine_chunks(), width)
-            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-            lists = table.column("ids").combine_chunks()
-            counts = np.diff(lists.offsets.to_numpy())
-            ids = np.full((len(x), int(counts.max())), -1, np.int64)
-            ids[np.repeat(np.arange(len(x)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] = lists.flatten().to_numpy()
-            scores, found = [], []
-            for at in range(0, len(queries), 64):
-                part = queries[at : at + 64]
-                tables = quantiser.tables(part)
-                rough = np.zeros((len(part), len(x)), np.float32)
+        rows = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = _matrix(part.column("embedding"), width)
+                floor = np.full(len(x), -np.inf, np.float32) if place >= len(rows) else -np.partition(-(x.astype(np.float32) @ rows.T), place, axis=1)[:, place]
+                yield pa.RecordBatch.from_arrays([part.column("sought"), part.column("embedding"), pa.array(coarse.read(x, sizes, least), pa.list_(pa.int32())), pa.array(floor)], ["sought", "embedding", "parts", "floor"])
+
+    return queries.mapInArrow(run, "sought long, embedding array<double>, parts array<int>, floor float")
+
+
+def _near(index: DataFrame, sought: DataFrame, quantiser: Quantiser, coarse: Coarse, sizes: np.ndarray, width: int, keep: int, depth: int) -> DataFrame:
+    """sought, vec_id and exact score of the best ids of each query."""
+    spark = index.sparkSession
+    asked = np.zeros(len(sizes), np.int64)
+    for r in sought.select(F.explode("parts").alias("part")).groupBy("part").count().collect():  # PARTS rows at most
+        asked[r["part"]] = r["count"]
+    rows = [(i, int(-(-n // ROWS)), int(max(1, -(-m // CHUNK)))) for i, (n, m) in enumerate(zip(sizes, asked, strict=True))]
+    cuts = F.broadcast(spark.createDataFrame(rows, "part int, blocks int, chunks int"))  # PARTS rows at most
+    # a class belongs to one block, a query to one chunk of each partition
+    index = index.join(cuts, "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunk = F.pmod(F.xxhash64("sought"), F.col("chunks")).cast("int").alias("chunk")
+    keys = ["part", "block", "chunk"]
+    asking = sought.select("sought", "embedding", "floor", F.explode("parts").alias("part")).join(cuts, "part").select("sought", "embedding", "floor", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk)
+
+    def looked_up(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        """The `depth` rough best of the block for each query, from its floor on."""
+        out = {"sought": [], "part": [], "block": [], "key": [], "rough": []}
+        n = min(depth, rows.num_rows)
+        if queries.num_rows and n:
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+            key = rows.column("key").to_numpy()
+            asks, names, floor = _matrix(queries.column("embedding").combine_chunks(), width), queries.column("sought").to_numpy(), queries.column("floor").to_numpy()
+            centre = coarse.centres[rows.column("part")[0].as_py()]
+            for at in range(0, len(asks), 64):
+                tables = quantiser.tables(asks[at : at + 64])
+                rough = np.repeat((asks[at : at + 64] @ centre)[:, None], len(code), 1).astype(np.float32)
                 for j in range(code.shape[1]):
                     rough += tables[:, j].take(code[:, j], axis=1)
-                n = min(max(LEAST, len(x) // SHARE), len(x))
                 top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-                exact = np.einsum("qd,qnd->qn", part, x[top])
-                if ids.shape[1] > 1:  # the best classes by score and smallest id, then their ids
-                    order = np.lexsort((ids[top, 0], -exact), axis=1)[:, :keep]
-                    top, exact = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-                scores.append(np.repeat(exact, ids.shape[1], 1))
-                found.append(ids[top].reshape(len(part), -1))
-            return np.concatenate(scores), np.concatenate(found)
-
-        held: list[pa.RecordBatch] = []
-
-        def flushed(best):
-            return _merge(best, *block(pa.Table.from_batches(held)), keep)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                held.append(batch.slice(at, ROWS))
-                if sum(b.num_rows for b in held) >= ROWS:
-                    best = flushed(best)
-                    held.clear()
-        if held:
-            best = flushed(best)
-        score, ids = best
-        at = np.nonzero(ids >= 0)
-        for a in range(0, len(at[0]), 1 << 16):
-            q, i = at[0][a : a + (1 << 16)], at[1][a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(ids[q, i]), pa.array(score[q, i])], ["sought", "vec_id", "score"])
-
-    return run
+                score = np.take_along_axis(rough, top, 1)
+                high = score >= floor[at : at + 64, None]
+                out["sought"].append(np.repeat(names[at : at + 64], high.sum(1)))
+                out["key"].append(key[top[high]])
+                out["rough"].append(score[high])
+        flat = {c: np.concatenate(x) if x else np.zeros(0) for c, x in out.items()}
+        size = len(flat["sought"])
+        for c in ("part", "block"):
+            flat[c] = np.full(size, rows.column(c)[0].as_py() if size else 0)
+        types = {"sought": pa.int64(), "part": pa.int32(), "block": pa.int32(), "key": pa.int64(), "rough": pa.float32()}
+        return pa.table({c: pa.array(flat[c]).cast(t) for c, t in types.items()})
+
+    rough = asking.groupBy(*keys).cogroup(index.select(*keys, "key", "code").groupBy(*keys)).applyInArrow(looked_up, "sought long, part int, block int, key long, rough float")
+    best = _best(rough, "sought", depth, "rough", "key").groupBy("sought", "part", "block").agg(F.collect_list("key").alias("keys"))
+    ranked = best.join(sought.select("sought", "embedding"), "sought").join(cuts, "part").select("sought", "embedding", "keys", "part", "block", chunk)
+
+    def exact(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        """Inner products of each query with its candidates in the block; the best classes' ids."""
+        names, ids, scores = [], [], []
+        if queries.num_rows and rows.num_rows:
+            x, key = _matrix(rows.column("embedding").combine_chunks(), width), rows.column("key").to_numpy()
+            order = np.argsort(key)
+            lists = rows.column("ids").combine_chunks()
+            begins, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            asks, wanted = _matrix(queries.column("embedding").combine_chunks(), width), queries.column("keys").to_pylist()
+            for i, name in enumerate(queries.column("sought").to_pylist()):
+                at = order[np.searchsorted(key, np.array(wanted[i]), sorter=order)]
+                score = np.einsum("nd,d->n", x[at], asks[i])
+                for j in np.lexsort((key[at], -score))[:keep]:
+                    own = flat[begins[at[j]] : begins[at[j] + 1]]
+                    names.append(np.full(len(own), name))
+                    ids.append(own)
+                    scores.append(np.full(len(own), score[j]))
+        made = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((names, np.int64), (ids, np.int64), (scores, float))]
+        return pa.table({"sought": made[0], "vec_id": made[1], "score": made[2]})
+
+    found = ranked.groupBy(*keys).cogroup(index.select(*keys, "key", "ids", "embedding").groupBy(*keys)).applyInArrow(exact, "sought long, vec_id long, score double")
+    return _best(found, "sought", keep).drop("rank")

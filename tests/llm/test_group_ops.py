@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,42 @@ def test_search_recall_and_ties(spark):
     assert list(common.vec_id)[:20] == [i for i, _ in plain_nearest(vectors, 220, 20)]
 
 
+@pytest.mark.parametrize("spread", [0.4, 3.0])
+def test_search_recall_on_full_blocks(spark, spread):
+    """24,000 rows in several partitions and blocks, in tight clusters and in loose ones, a third of them in one."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(60, 32))
+    of = np.where(rng.random(24_000) < 1 / 3, 0, rng.integers(0, 60, 24_000))
+    x = (centres[of] + spread * rng.normal(size=(24_000, 32))).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)})
+    out = anisotropic.search(spark.createDataFrame(table), F.col("vec_id") % 100 == 0, 20).toPandas()
+    exact = x.astype(float)
+    scores = exact[::100] @ exact.T
+    scores[np.arange(240), np.arange(0, 24_000, 100)] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    hits = sum(len(set(g.vec_id) & set(best[q // 100])) for q, g in out.groupby("query_id"))
+    assert len(out) == 240 * 20 and hits / (240 * 20) >= 0.95, hits / (240 * 20)
+
+
+def test_search_one_id_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [0.0, 4.0]), (1, [5.0, 0.0]), (2, [1.0, 1.0]), (3, [-1.0, 0.0])]
+    out = anisotropic.search(spark.createDataFrame(rows, "vec_id int, embedding array<float>"), F.col("vec_id") == 0, 20).collect()
+    assert sorted(r.vec_id for r in out) == [1, 2, 3] and [r.rank for r in sorted(out, key=lambda r: r["rank"])] == [1, 2, 3]
+
+
+def test_partitions_hold_what_was_measured():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20, 16))[rng.integers(0, 20, 6000)] + 0.3 * rng.normal(size=(6000, 16))
+    coarse = anisotropic.Coarse(x, 24, 20)
+    part = coarse.nearest(x)
+    assert 1 <= coarse.reads < 24
+    sizes = np.bincount(part, minlength=24)
+    sizes[part[0]] = 0  # an empty partition is never read, and few rows lead to more partitions
+    for least in (1, 5000):
+        for parts in coarse.read(x[:50], sizes, least):
+            assert (sizes[parts] > 0).all() and sizes[parts].sum() >= least and len(parts) >= coarse.reads
+
+
 def test_search_small_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0, 0.5]), (20, [0.0, 1.0, 0.0]), (3, [1.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
     out = anisotropic.search(df, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()
@@ -244,12 +281,11 @@ def test_anisotropic_loss_falls():
 
     assert q.weight > 1 or anisotropic.eta(16) == 1.0
     q.weight = 5.0
-    assert loss(q.codes(x, 2)) < loss(q.codes(x, 0))
+    assert loss(q.codes(x, rounds=2)) < loss(q.codes(x, rounds=0))
     code = q.codes(x)
     table = q.tables(x[:3])
     looked = sum(table[:, j][:, anisotropic.packed(code)[:, j]] for j in range(table.shape[1]))
-    rebuilt = np.take_along_axis(q.centres[None], code[:, :, None, None].astype(int), 2)[:, :, 0].reshape(len(x), -1)
-    assert np.allclose(looked, x[:3] @ rebuilt.T, atol=1e-4)
+    assert np.allclose(looked, x[:3] @ q.rebuilt(code).T, atol=1e-4)
 
 
 # ---- archives
