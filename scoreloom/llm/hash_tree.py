@@ -69,16 +69,16 @@ def numbered(rows: DataFrame, group: str, order: list[str], column: str) -> Data
     """rows with a gapless number from 0 within each group, in `order`, without gathering a group in one task.
 
     Rows are dealt by ranges of `order` and written; a range's start in its group is the sum
-    of the counts before it.
+    of the counts before it. Rows equal in `order` are dealt by a random number, however many.
     """
-    dealt = saved(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "numbered")
+    dealt = saved(rows.withColumn("__tie", F.rand(1)).repartitionByRange(*order, "__tie").withColumn("__range", F.spark_partition_id()), "numbered")
     counts = dealt.groupBy("__range", group).agg(F.count("*").alias("__count"))
     # as many rows as ranges and groups
     before = Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("__range").alias("__r"), F.col(group).alias("__g"), F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__start"))
     joined = dealt.join(starts, (F.col("__range") == F.col("__r")) & F.col(group).eqNullSafe(F.col("__g")))
-    within = F.row_number().over(Window.partitionBy("__range", group).orderBy(*order))
-    return joined.withColumn(column, F.col("__start") + within - 1).drop("__range", "__r", "__g", "__start")
+    within = F.row_number().over(Window.partitionBy("__range", group).orderBy(*order, "__tie"))
+    return joined.withColumn(column, F.col("__start") + within - 1).drop("__range", "__r", "__g", "__start", "__tie")
 
 
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -87,7 +87,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     The law is `key`: doc_id and the number of shards decide. size: UTF-8 bytes of the text
     (null: none) plus 1. slot: place in the shard by doc_id, then size and crc. grown_shard:
     the shard with one shard more. A null doc_id is a key like others; repeated rows share
-    their shard and have slots of their own.
+    their shard and have slots of their own. An empty table has no rows in any shard.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))

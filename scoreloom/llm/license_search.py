@@ -3,11 +3,14 @@
 Texts are reduced to lower-case words one space apart. A notice that may differ in k
 characters is cut into k + 1 pieces; at least one stands unchanged wherever the notice does
 (pigeonhole), so exact finds of pieces give all candidate places. There the regex library
-matches the whole notice with at most k insertions, deletions and substitutions.
+matches whole runs of words there with the notice, with at most k insertions, deletions and
+substitutions. Where finds of different labels overlap, those of
+the fewest errors stay, so versions of a licence that differ in a digit are told apart.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,7 +44,21 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("subject to the terms of the mozilla public license", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("either version 2 of the license or at your option any later version", "gpl-2"),
+    ("either version 3 of the license or at your option any later version", "gpl-3"),
+    ("gnu general public license version 2", "gpl-2"),
+    ("gnu general public license version 3", "gpl-3"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used", "bsd-3-clause"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "bsd-2-clause"),
+    ("made available under the terms of the eclipse public license", "epl"),
+    ("subject to the terms of the common development and distribution license", "cddl"),
+    ("distributed under the boost software license version 1 0", "bsl"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
+    ("to the extent possible under law the author has dedicated all copyright", "cc0"),
+    ("licensed under the european union public licence", "eupl"),
 )
+#: Score of a phrase alone, without a notice.
+PHRASE_SCORE = 0.5
 #: One character in so many may differ.
 PER_ERROR = 14
 
@@ -61,7 +78,7 @@ def compiled(notices=NOTICES, per_error: int = PER_ERROR) -> list[Notice]:
         errors = max(1, len(text) // per_error)
         cut = [len(text) * i // (errors + 1) for i in range(errors + 2)]
         pieces = tuple((a, text[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True))
-        out.append(Notice(label, text, errors, pieces, regex.compile(b"(?e)(?:" + regex.escape(text) + b"){e<=%d}" % errors)))
+        out.append(Notice(label, text, errors, pieces, regex.compile(b"(?b)(?:" + regex.escape(text) + b"){e<=%d}" % errors)))
     return out
 
 
@@ -69,6 +86,8 @@ class Reduced(NamedTuple):
     data: np.ndarray  # lower-case words one space apart, a line for each text
     source: np.ndarray  # place in the block of each byte
     line_starts: np.ndarray  # of each text, and the end
+    starts: np.ndarray  # of words
+    ends: np.ndarray
 
 
 def reduced(block: T.Block) -> Reduced:
@@ -82,7 +101,9 @@ def reduced(block: T.Block) -> Reduced:
     keep = np.ones(len(out), bool)
     keep[1:] = ~((out[1:] == 0x20) & gap[:-1])
     kept = np.flatnonzero(keep)
-    return Reduced(out[kept], source[kept], np.r_[0, np.flatnonzero(out[kept] == 10) + 1])
+    solid = out[kept] > 0x20
+    starts, ends = np.flatnonzero(solid & np.r_[True, ~solid[:-1]]), np.flatnonzero(solid & np.r_[~solid[1:], True]) + 1
+    return Reduced(out[kept], source[kept], np.r_[0, np.flatnonzero(out[kept] == 10) + 1], starts, ends)
 
 
 def _finds(data: bytes, piece: bytes) -> list[int]:
@@ -103,26 +124,49 @@ class Found(NamedTuple):
 
 
 def notices_in(r: Reduced, data: bytes, notices: list[Notice]) -> list[Found]:
-    """Places of notices with at most their errors; overlapping candidate windows are searched as one."""
-    out = []
+    """Runs of whole words with at most a notice's errors; of a notice's overlapping runs those of the fewest errors."""
+    out, starts, ends = [], r.starts, r.ends
     for notice in notices:
-        windows = []
+        size, k = len(notice.text), notice.errors
+        runs: set[tuple[int, int, int]] = set()
         for place, piece in notice.pieces:
             for at in _finds(data, piece):
                 doc = int(np.searchsorted(r.line_starts, at, side="right")) - 1
-                low = max(at - place - notice.errors, int(r.line_starts[doc]))
-                high = min(at - place + len(notice.text) + notice.errors, int(r.line_starts[doc + 1]) - 1)
-                windows.append((doc, low, high))
-        windows.sort()
-        joined: list[list[int]] = []
-        for doc, low, high in windows:
-            if joined and joined[-1][0] == doc and low <= joined[-1][2]:
-                joined[-1][2] = max(high, joined[-1][2])
-            else:
-                joined.append([doc, low, high])
-        for doc, low, high in joined:
-            for m in notice.pattern.finditer(data, low, high):
-                out.append(Found(doc, notice.label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice.text)))
+                line, line_end = int(r.line_starts[doc]), int(r.line_starts[doc + 1]) - 1
+                low, high = max(at - place - k, line), min(at - place + size + k, line_end)
+                begins = starts[np.searchsorted(starts, low) : np.searchsorted(starts, at - place + k, side="right")]
+                closes = ends[np.searchsorted(ends, at - place + size - k) : np.searchsorted(ends, high, side="right")]
+                runs.update((doc, int(a), int(z)) for a in begins for z in closes if abs(z - a - size) <= k)
+        found = []
+        for doc, a, z in runs:
+            if m := notice.pattern.fullmatch(data, a, z):
+                found.append(Found(doc, notice.label, a, z, sum(m.fuzzy_counts), size))
+        kept: list[int] = []  # starts of runs that stay, which don't overlap
+        held: dict[int, int] = {}
+        for f in sorted(found, key=lambda f: (f.errors, f.start, f.end)):
+            i = bisect.bisect_right(kept, f.start)
+            if (i == 0 or held[kept[i - 1]] <= f.start) and (i == len(kept) or kept[i] >= f.end):
+                kept.insert(i, f.start)
+                held[f.start] = f.end
+                out.append(f)
+    return _closest(out)
+
+
+def _closest(found: list[Found]) -> list[Found]:
+    """found without those that overlap one of another label with fewer errors."""
+    found = sorted(found, key=lambda f: (f.start, f.end))
+    longest = max((f.end - f.start for f in found), default=0)
+    out = []
+    for i, f in enumerate(found):
+        beaten = False
+        for step in (-1, 1):
+            j = i + step
+            while 0 <= j < len(found) and not beaten and abs(found[j].start - f.start) <= longest:
+                g = found[j]
+                beaten = g.label != f.label and g.errors < f.errors and g.start < f.end and f.start < g.end
+                j += step
+        if not beaten:
+            out.append(f)
     return out
 
 
@@ -130,8 +174,7 @@ def scan_block(block: T.Block, notices: list[Notice]) -> dict[str, list]:
     r = reduced(block)
     n = len(block.offsets) - 1
     data = r.data.tobytes()
-    solid = r.data > 0x20
-    starts = np.flatnonzero(solid & np.r_[True, ~solid[:-1]]) if len(solid) else np.zeros(0, int)
+    starts = r.starts
     word_doc = np.searchsorted(r.line_starts, starts, side="right") - 1
     n_words = np.bincount(word_doc, minlength=n)
     before = np.r_[0, np.cumsum(n_words)]
@@ -156,7 +199,7 @@ def scan_block(block: T.Block, notices: list[Notice]) -> dict[str, list]:
                 base[doc].append(int(np.searchsorted(starts, at)) - int(before[doc]))
                 base_labels[doc].add(label)
                 spans[doc].append((label, place(at, doc), end_place(to, doc), 0))
-                score[doc] = 1.0
+                score[doc] = PHRASE_SCORE
     labels = [set(x) for x in base_labels]
     for f in notices_in(r, data, notices):
         labels[f.doc].add(f.label)
@@ -177,9 +220,9 @@ def scan_block(block: T.Block, notices: list[Notice]) -> dict[str, list]:
 def search(docs: DataFrame, notices=NOTICES, per_error: int = PER_ERROR) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label, start, end in code points, errors) of every row of docs (doc_id, text; other columns are not read).
 
-    A null text counts as empty: no words, no labels, score 0. score is 1 with a phrase of
-    PHRASES, else the largest share of a notice's characters that are unchanged. One narrow
-    pass over whole texts; repeated rows give repeated results.
+    A null text counts as empty: no words, no labels, score 0. score is the largest share of
+    a notice's characters that are unchanged, PHRASE_SCORE for a phrase of PHRASES alone. One
+    narrow pass over whole texts; repeated rows give repeated results, an empty table none.
     """
     span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("errors", pa.int64())]))
     types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "spans": span}

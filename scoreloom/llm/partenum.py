@@ -494,7 +494,10 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         result = saved(result, "partenum-result", slim="light")
         for old in (ties, classes, coarse, members, tied, dealt, links, labels):
             drop(old)
-    return sized.join(result, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # empty sets have no node, and would all meet under one key
+    named = sized.where("node is not null").select("doc_id", "n_shingles", "node").join(result, "node", "left")
+    named = named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return named.unionByName(sized.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -107,13 +107,40 @@ class _Memory(dict):
             self.clear()
 
 
+# The normaliser, the splitter and the settings of a file that Codec reads.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+SETTINGS = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def unfit(held: dict) -> list[str]:
+    """What of a tokenizer file Codec would not follow."""
+    out = [name for name, wanted in (("normalizer", NORMALIZER), ("pre_tokenizer", SPLITTER), ("decoder", None)) if held.get(name) != wanted]
+    model = held.get("model") or {}
+    out += [f"model.{name}" for name, wanted in SETTINGS.items() if (model.get(name) or None) != (wanted or None)]
+    for x in held.get("added_tokens") or []:
+        if any(x.get(flag) for flag in ("single_word", "lstrip", "rstrip", "normalized")) or not x["content"].startswith("<|") or not x["content"].isascii() or re.search(r"\s", x["content"]):
+            out.append(f"added token {x['content']!r}")
+    letters = set(_byte_letters())
+    lacking = letters - set(model.get("vocab") or {}) or {x for x in letters if x + (model.get("end_of_word_suffix") or "") not in model["vocab"]}
+    return out + [f"{len(lacking)} bytes without a symbol"] * bool(lacking)
+
+
 class Codec:
-    """Encoder and decoder of one tokenizer file (BPE over byte letters, an end-of-word suffix, white space dropped)."""
+    """Encoder and decoder of one tokenizer file (BPE over byte letters, an end-of-word suffix, white space dropped). Raises ValueError for a file that asks for anything else."""
 
     def __init__(self, text: str):
         from tokenizers import Tokenizer
 
         held = json.loads(text)
+        if found := unfit(held):
+            raise ValueError(f"this codec doesn't follow {', '.join(found)} of the tokenizer file")
         model = held["model"]
         library = Tokenizer.from_str(text)
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -136,7 +163,7 @@ class Codec:
         """One word in byte letters."""
         symbols = list(piece)
         symbols[-1] += self.suffix
-        ids = [self.vocab[x] for x in symbols if x in self.vocab]
+        ids = [self.vocab[x] for x in symbols]
         return np.array(merge(ids, self.ranks), np.int32).tobytes()
 
     def _plain(self, chunk: str) -> bytes:
@@ -187,9 +214,12 @@ def _codec(text: str) -> Codec:
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs (doc_id, text; other columns are not read), special tokens neither added nor treated as text.
 
-    A null text counts as empty and has no ids. Repeated rows give repeated results. The
-    file at tokenizer_path is read by the driver (a vocabulary of one or two MB) and sent along.
+    A null or empty text has no ids. Repeated rows give repeated results, an empty table none.
+    The file at tokenizer_path is read by the driver (a vocabulary of one or two MB) and sent
+    along; one that Codec doesn't follow raises ValueError here.
     """
+    if found := unfit(json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))):
+        raise ValueError(f"segment_bpe doesn't follow {', '.join(found)} of {tokenizer_path}")
     sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     @T.tidied
@@ -209,7 +239,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """encoded (doc_id, ids) with the column decoded added: the text of its ids, special tokens included."""
+    """doc_id, ids and decoded of every row of encoded (doc_id, ids; other columns are not read): the text of its ids, special tokens included. Null and empty ids give the empty text."""
     sent = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
 
     @T.tidied

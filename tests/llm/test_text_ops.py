@@ -278,7 +278,55 @@ def test_license_base_and_fuzzy(spark):
             assert 0 <= s.start < s.end <= len(t)
     assert by[3].base_labels == "" and by[3].labels == "mit" and 0 < by[3].score < 1
     assert LICENCES[2][1][by[3].spans[0].start : by[3].spans[0].end] == "Released under the MIT Lisense"
-    assert by[6].labels == "apache" and by[2].score == 1.0 and by[8].score == 0.0
+    assert by[6].labels == "apache" and by[2].score == 1.0 and by[8].score == 0.0 and by[10].score == license_search.PHRASE_SCORE
+
+
+def plain_labels(text):
+    """Labels by edit distance of every run of words with every notice; of overlapping finds with different labels the fewest errors."""
+    words = FIND.findall(text.translate({k: k + 32 for k in range(65, 91)}))
+    found = []
+    for n in license_search.compiled():
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                run = " ".join(words[i:j])
+                if abs(len(run) - len(n.text)) <= n.errors and (d := edits(run.encode(), n.text)) <= n.errors:
+                    found.append((i, j, n.label, d))
+    stay = [f for f in found if not any(g[2] != f[2] and g[3] < f[3] and g[0] < f[1] and f[0] < g[1] for g in found)]
+    return {f[2] for f in stay} | {name for p, name in license_search.PHRASES if f" {p} " in f" {' '.join(words)} "}, max((1 - f[3] / len(n.text) for f in stay for n in license_search.compiled() if n.label == f[2]), default=0)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_license_labels_against_edit_distance(spark):
+    texts = [
+        "unreleased under the mit licenses x",
+        "xreleased under the mit licensed",
+        "released under the mit licens",
+        "under the gnu general public license version 2 here",
+        "under the gnu general public license version 3, or so",
+        "either version 3 of the License, or (at your option) any later version.",
+        "either version 2 of the Licence, or at your option any later version.",
+        "licensed under cc by sa 4.0 and licensed under cc by nc 4.0",
+        "made available under the terms of the Eclipse Public Licence",
+        "distributed under the Boost Software License, Version 1.0.",
+        "the mit license",
+        "nothing",
+    ]
+    rows = license_search.search(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for r in rows:
+        assert set(filter(None, r.labels.split(","))) == plain_labels(texts[r.doc_id])[0], texts[r.doc_id]
+        for s in r.spans:  # whole words only
+            around = f" {texts[r.doc_id]} "
+            assert not around[s.start].isalnum() and not around[s.end + 1].isalnum()
+    assert rows[3].labels == "gpl,gpl-2" and rows[4].labels == "gpl,gpl-3" and rows[5].labels == "gpl-3" and rows[10].score == 0.5
 
 
 def test_license_pigeonhole():
@@ -393,12 +441,12 @@ def test_grown_layouts(spark):
 
 
 def plain_poisson(rate, u):
-    k, p, c = 0, math.exp(-rate), math.exp(-rate)
-    while c < u:
-        k += 1
-        p *= rate / k
-        c += p
-    return k
+    c = 0.0
+    for k in range(int(rate + 20 * rate**0.5 + 50)):
+        c += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        if c >= u:
+            return k
+    raise ValueError(rate)
 
 
 def test_poisson_counts(spark):
@@ -446,3 +494,41 @@ def test_mix_targets_and_odd(spark, odd):
     assert poisson_mix.mix(docs.where("1=0")).count() == 0
     weights = poisson_mix.rates(docs, {"a": 1.0}).collect()
     assert {r.source: r.rate > 0 for r in weights} == {"a": True, "b": False, None: False}
+
+
+def test_codec_refuses_other_files(tmp_path, spark):
+    import json
+
+    import public_tokenizers
+
+    held = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    assert segment_bpe.unfit(held) == []
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "ByteLevel"}}, {"model": held["model"] | {"unk_token": "!"}}, {"added_tokens": [held["added_tokens"][0] | {"lstrip": True}]}):
+        assert segment_bpe.unfit(held | change)
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(held | {"normalizer": {"type": "Lowercase"}}), encoding="utf-8")
+    with pytest.raises(ValueError, match="normalizer"):
+        segment_bpe.encode(spark.createDataFrame([(1, "x")], "doc_id int, text string"), str(other))
+
+
+def test_mix_of_high_rates(spark):
+    """A tiny source of a very high rate beside a large one: counts as the plain distribution says, every copy once."""
+    docs = spark.createDataFrame([(i, "x" * 4000, "big") for i in range(30)] + [(100, "y", "tiny"), (101, None, "tiny"), (102, "", "none")], "doc_id long, text string, source string")
+    out = poisson_mix.mix(docs, budget_rates(docs)).toPandas()
+    rate = {r.source: r.rate for r in budget_rates(docs).collect()}
+    assert rate["tiny"] > poisson_mix.COPIES and rate["none"] == 0
+    for i, source in [(100, "tiny"), (101, "tiny"), (3, "big")]:
+        u = (int(hashlib.md5(f"mix-1/{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        own = out[out.doc_id == i]
+        assert sorted(own["copy"]) == list(range(1, plain_poisson(rate[source], u) + 1))
+    assert 102 not in set(out.doc_id)
+
+
+def budget_rates(docs):
+    return poisson_mix.rates(docs, {"big": 0.9, "tiny": 0.1})
+
+
+def test_shards_of_many_equal_rows(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    out = hash_tree.shard(rows, 8).toPandas()
+    assert out.shard.nunique() == 1 and sorted(out.slot) == list(range(20_000))
