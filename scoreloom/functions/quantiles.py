@@ -1,21 +1,19 @@
-"""Exact linear-interpolated quantiles of many columns, without a global sort.
+"""Exact linear-interpolated quantiles of many columns, without a task that orders a column.
 
-A sketch of fixed size brackets each wanted rank; a second pass counts what lies below a
-bracket and, per distinct value, what lies inside. Only brackets are ordered, each in a
-window of its own, so no task sorts a column.
+Values are counted, equal ones first within their task; running sums over the distinct
+values (see running_sums) give the ranks that each one holds, so the two values at a wanted
+rank are found by a filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import numeric
-
-#: Ranks are off by 1 / ACCURACY of the rows at most in the sketch.
-ACCURACY = 2000
+from .running import running_sums
 
 
 def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
@@ -24,48 +22,28 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), kee
     return df.select(*by, *keep, F.explode(pairs).alias("__p")).select(*by, *keep, "__p.feature", "__p.x")
 
 
-def quantile_rows(long: DataFrame, probabilities: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., feature, n, place, p, value): exact quantiles of x in long (by..., feature, x); missing values don't count."""
+def quantile_rows(long: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """(by..., feature, n, place, p, value): exact quantiles of x in long (by..., feature, x); missing values don't count. times: a column that says how often a row counts."""
     keys = [*by, "feature"]
     filled = long.where(F.col("x").isNotNull())
-    margin = 1.5 / ACCURACY
-    # few rows are all within their brackets, as the sketch may be a rank or two off there
-    probes = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)]
-    rough = filled.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("__min"), F.max("x").alias("__max"), F.percentile_approx("x", [float(p) for p in probes], ACCURACY).alias("__s"))
-    wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("place"),
-            F.lit(float(p)).alias("p"),
-            F.when(F.lit(p - margin <= 0) | (F.col("n") <= 4 * ACCURACY), F.col("__min")).otherwise(F.get("__s", F.lit(2 * i))).alias("low"),
-            F.when(F.lit(p + margin >= 1) | (F.col("n") <= 4 * ACCURACY), F.col("__max")).otherwise(F.get("__s", F.lit(2 * i + 1))).alias("high"),
-        )
-        for i, p in enumerate(probabilities)
-    ])
-    # as many rows as groups, features and probabilities
-    brackets = rough.select(*keys, "n", F.explode(wanted).alias("__w")).select(*keys, "n", "__w.*")
-    brackets = brackets.withColumn("h", (F.col("n") - 1) * F.col("p")).withColumn("rank", F.floor("h").cast("long"))
-    packed = brackets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "low", "high"))).alias("__b"))
-    named = packed.select(*[F.col(k).alias(f"__{k}") for k in keys], "__b")
-    on = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__{k}"))
-        on = same if on is None else on & same
-    # equal values first meet within their task
-    counted = filled.groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    joined = counted.join(F.broadcast(named) if not by else named, on).drop(*[f"__{k}" for k in keys])
-    below = F.transform("__b", lambda b: F.struct(b["place"].alias("place"), (F.col("x") < b["low"]).alias("under"), ((F.col("x") >= b["low"]) & (F.col("x") <= b["high"])).alias("inside")))
-    spread = joined.select(*keys, "x", "c", F.explode(F.filter(below, lambda b: b["under"] | b["inside"])).alias("__r")).select(*keys, "__r.place", "__r.under", F.when(~F.col("__r.under"), F.col("x")).alias("x"), "c")
-    part = spread.groupBy(*keys, "place", "under", "x").agg(F.sum("c").alias("c"))
-    running = Window.partitionBy(*keys, "place").orderBy(F.desc("under"), "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = part.withColumn("upto", F.sum("c").over(running)).where(~F.col("under"))
-    target = brackets.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("place").alias("__place"), "n", "p", "h", "rank")
-    ranked = part.join(target, on & (F.col("place") == F.col("__place")))
-    at = F.col("upto") - F.col("c")
-    ranked = ranked.groupBy(*keys, "place", "n", "p", "h", "rank").agg(
-        F.max(F.when((at <= F.col("rank")) & (F.col("rank") < F.col("upto")), F.col("x"))).alias("a"),
-        F.max(F.when((at <= F.col("rank") + 1) & (F.col("rank") + 1 < F.col("upto")), F.col("x"))).alias("b"),
-    )
-    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("h") - F.col("rank"))
+    counted = filled.groupBy(*keys, "x").agg((F.sum(times) if times else F.count("*")).cast("long").alias("c")).where("c > 0")
+    run = running_sums(counted, keys, "x", ["c"])
+    first, after, n = F.col("before_c"), F.col("before_c") + F.col("c"), F.col("all_c")
+
+    def rank(p):
+        return F.floor((n - 1) * p)
+
+    wanted = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
+    held = F.filter(wanted, lambda w: (rank(w["p"]) < after) & (rank(w["p"]) + 1 >= first))
+    # a value or two for each group, feature and probability
+    near = run.select(*keys, "x", first.alias("__first"), after.alias("__after"), n.alias("n"), F.explode(held).alias("__w")).select(*keys, "x", "__first", "__after", "n", "__w.*")
+    near = near.withColumn("h", (F.col("n") - 1) * F.col("p")).withColumn("rank", F.floor("h"))
+
+    def at(place):
+        return F.max(F.when((F.col("__first") <= place) & (place < F.col("__after")), F.col("x")))
+
+    ranked = near.groupBy(*keys, "n", "place", "p").agg(at(F.col("rank")).alias("a"), at(F.col("rank") + 1).alias("b"), F.max("h").alias("h"))
+    value = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * (F.col("h") - F.floor("h"))
     return ranked.select(*keys, "n", "place", "p", value.alias("value"))
 
 

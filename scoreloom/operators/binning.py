@@ -7,6 +7,7 @@ one grouped task per feature, over all of them unless pre_bins asks for cells.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -179,12 +180,12 @@ def coded(df: DataFrame, splits: dict[str, list[float]], keep: Sequence[str] = (
 
 def described(binned: DataFrame, splits: dict[str, list[float]]) -> DataFrame:
     """binned (feature, bin_idx, ...) with bin, min and max."""
-    name, low, high = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double")
+    rows = []
     for f, s in splits.items():
-        own, code = F.col("feature") == f, F.col("bin_idx")
-        a, z = B.bounds(code, s)
-        name, low, high = F.when(own, B.label_of(code, s)).otherwise(name), F.when(own, a).otherwise(low), F.when(own, z).otherwise(high)
-    return binned.withColumn("bin", name).withColumn("min", low).withColumn("max", high)
+        bounds = [-math.inf, *map(float, s), math.inf]
+        rows += [(f, -1, B.MISSING, None, None)] + [(f, i, name, bounds[i], bounds[i + 1]) for i, name in enumerate(B.labels(s))]
+    table = binned.sparkSession.createDataFrame(rows, "__f string, __i int, bin string, min double, max double")  # a row a bin, from the driver
+    return binned.join(F.broadcast(table), (F.col("feature") == F.col("__f")) & (F.col("bin_idx") == F.col("__i")), "left").drop("__f", "__i")
 
 
 def statistics(df: DataFrame, splits: dict[str, list[float]], y: str) -> DataFrame:

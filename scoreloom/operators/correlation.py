@@ -1,4 +1,4 @@
-"""Correlation matrices and variance inflation from one pass of sums, whatever the number of rows."""
+"""Correlation matrices and variance inflation from one pass of sums, whatever the number of rows; rank correlations from running sums and from counts of pairs by ranges."""
 
 from __future__ import annotations
 
@@ -6,19 +6,27 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import numeric
+from ..functions.running import running_sums, stretches
 
 METHODS = ("pearson", "spearman", "kendall")
+#: Pairs of columns whose sums are expressions of one aggregate; more are summed as matrices.
+PAIRS = 60
+#: Distinct pairs of values that one task of Kendall's count holds, about.
+MOST = 1_000_000
 
 
 def pearson(x: Column, y: Column) -> Column:
     """Correlation over rows where both are present; null if either is constant."""
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    # the deviation of a constant may be a rounding error above 0
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varied, F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def _pairs(columns: Sequence[str]) -> list[tuple[str, str]]:
@@ -43,6 +51,10 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     if method == "spearman":
         own = _ranked(own)
     place = {c: i for i, c in enumerate(columns)}
+    if len(pairs) > PAIRS:
+        matrix = _pairwise(own, len(columns))
+        rows = [(a, b, None if np.isnan(r := matrix[place[a], place[b]]) else float(r)) for a, b in pairs]
+        return spark.createDataFrame(rows, "var1 string, var2 string, correlation double")
     exprs = []
     for i, (a, b) in enumerate(pairs):
         x, y = F.col(f"c{place[a]}"), F.col(f"c{place[b]}")
@@ -53,61 +65,115 @@ def correlations(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     return row.select(F.explode(made).alias("p")).select("p.*").orderBy("i").drop("i")
 
 
+def _summed(own: DataFrame, size: int, partial) -> np.ndarray:
+    """The sum over all batches of partial(rows as a matrix): numpy by batch, added up by Spark, `size` numbers on the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += partial(batch.to_numpy(float))
+        yield pd.DataFrame({"place": np.arange(size), "value": total})
+
+    out = np.zeros(size)
+    for r in own.mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[r["place"]] = r["value"]
+    return out
+
+
+def _pairwise(own: DataFrame, k: int) -> np.ndarray:
+    """Correlations of all pairs over rows where both are present, from k x k sums about the first values; nan where either is constant."""
+    first = own.agg(*[F.first(c, ignorenulls=True).alias(c) for c in own.columns]).first()
+    base = np.array([v if v is not None else 0.0 for v in first], float)
+
+    def partial(x: np.ndarray) -> np.ndarray:
+        there = ~np.isnan(x)
+        x, m = np.where(there, x - base, 0.0), there.astype(float)
+        return np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x]).ravel()
+
+    n, s, q, p = _summed(own, 4 * k * k, partial).reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n
+        spread = np.where(spread > 1e-12 * q, spread, 0.0)
+        return (p - s * s.T / n) / np.sqrt(np.where(spread * spread.T > 0, spread * spread.T, np.nan))
+
+
 def _ranked(own: DataFrame) -> DataFrame:
-    """Each column as its average ranks: distinct values are counted and ordered, and ranks joined back by value."""
+    """Each column as its average ranks: distinct values are counted, running sums give ranks, joined back by value."""
     for c in own.columns:
         counts = own.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").cast("double").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranks = counts.select(F.col(c).alias("__v"), (upto - (F.col("n") - 1) / 2).alias("__r"))
+        ranks = running_sums(counts, [], c, ["n"]).select(F.col(c).alias("__v"), (F.col("before_n") + (F.col("n") + 1) / 2).alias("__r"))
         own = own.join(ranks, F.col(c) == F.col("__v"), "left").drop("__v", c).withColumnRenamed("__r", c)
     return own
 
 
+def discordant(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Weight of pairs of entries that x and y order differently, entry i counting n[i] times: for each bit of y's rank, the entries with it before those without among entries equal in higher bits."""
+    if len(x) < 2:
+        return 0.0
+    order = np.lexsort((y, x))  # of one x, y ascends, so ties of x are never out of order
+    _, rank = np.unique(y[order], return_inverse=True)
+    n, total = n[order].astype(float), 0.0
+    for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
+        # rows are grouped by the bits above, in x order within a group
+        group, one = rank >> (bit + 1), (rank >> bit) & 1
+        upto = np.cumsum(n * one)
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        before = np.repeat(np.r_[0.0, upto][start], np.diff(np.r_[start, len(n)]))
+        total += float((n * (1 - one) * (upto - before)).sum())
+        place = np.argsort(2 * group + one, kind="stable")
+        rank, n = rank[place], n[place]
+    return total
+
+
 def _kendall(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Tau-b from counts of distinct pairs of values; one grouped task a pair of columns, n log n in its distinct pairs."""
+    """Tau-b from counts of distinct pairs of values.
+
+    Discordant pairs are counted by a task a pair of columns, or, beyond MOST distinct pairs,
+    by stretches of x and of y: pairs in different ones of both follow from the counts of all
+    combinations, the others lie within a stretch of x, or within one of y but not of both.
+    """
     made = F.array(*[F.struct(F.lit(i).alias("i"), numeric(df, a).alias("x"), numeric(df, b).alias("y")) for i, (a, b) in enumerate(pairs)])
     long = df.select(F.explode(made).alias("p")).select("p.*").where("x is not null and y is not null")
     counts = long.groupBy("i", "x", "y").agg(F.count("*").alias("n"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["x", "y"])
-        x, y, n = frame["x"].to_numpy(), frame["y"].to_numpy(), frame["n"].to_numpy(float)
-        total = n.sum()
-        _, yi = np.unique(y, return_inverse=True)
-        tree = np.zeros(yi.max() + 2)
-        greater = 0.0  # pairs in which x and y order the same way
-        seen = 0.0
-        discordant = 0.0
-        at = 0
-        while at < len(x):
-            end = int(np.searchsorted(x, x[at], side="right"))
-            for k in range(at, end):
-                below, i = 0.0, int(yi[k])
-                while i > 0:
-                    below += tree[i]
-                    i -= i & -i
-                upto, i = 0.0, int(yi[k]) + 1
-                while i > 0:
-                    upto += tree[i]
-                    i -= i & -i
-                greater += n[k] * below
-                discordant += n[k] * (seen - upto)
-            for k in range(at, end):
-                i = int(yi[k]) + 1
-                while i < len(tree):
-                    tree[i] += n[k]
-                    i += i & -i
-                seen += n[k]
-            at = end
-        whole = total * (total - 1) / 2
-        tx = sum(v * (v - 1) / 2 for v in frame.groupby("x")["n"].sum())
-        ty = sum(v * (v - 1) / 2 for v in frame.groupby("y")["n"].sum())
-        scale = np.sqrt((whole - tx) * (whole - ty))
-        return pd.DataFrame({"i": [int(frame["i"].iloc[0])], "r": [(greater - discordant) / scale if scale > 0 else None]})
-
-    found = counts.groupBy("i").applyInPandas(run, "i int, r double")
+    def ties(*by: str) -> Column:
+        return F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
+
+    whole = counts.groupBy("i").agg(F.sum("n").alias("n"), ties().alias("both"))
+    whole = whole.select("i", (F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("n0"), "both")
+    tied = [counts.groupBy("i", c).agg(F.sum("n").alias("n")).groupBy("i").agg(ties().alias(f"t{c}")) for c in ("x", "y")]
+    out = whole.join(tied[0], "i").join(tied[1], "i").join(_out_of_order(counts), "i")
+    scale = F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))
+    found = out.select("i", F.when(scale > 0, (F.col("n0") - F.col("tx") - F.col("ty") + F.col("both") - 2 * F.col("d")) / scale).alias("r"))
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, var1 string, var2 string")
-    return names.join(found, "i", "left").orderBy("i").select("var1", "var2", F.when(~F.isnan("r"), F.col("r")).alias("correlation"))
+    return names.join(found, "i", "left").orderBy("i").select("var1", "var2", F.col("r").alias("correlation"))
+
+
+def _out_of_order(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """(i, d): the discordant pairs of counts (i, x, y, n)."""
+    most = MOST if most is None else most
+
+    def within(rows: DataFrame, *by: str) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            x, y, n = (table.column(c).to_numpy() for c in ("x", "y", "n"))
+            return pa.table({"i": table.column("i")[:1].combine_chunks(), "d": pa.array([discordant(x, y, n)])})
+
+        return rows.groupBy("i", *by).applyInArrow(run, "i int, d double").groupBy("i").agg(F.sum("d").alias("d"))
+
+    cut = stretches(counts, ["i"], "x", most)
+    if cut is None:
+        return within(counts)
+    cut = cut.withColumnRenamed("__at", "s")
+    both = stretches(cut, ["i"], "y", most)
+    both = (cut.withColumn("t", F.lit(0)) if both is None else both.withColumnRenamed("__at", "t")).select("i", "x", "y", "n", "s", "t")
+    cells = both.groupBy("i", "s", "t").agg(F.sum("n").cast("double").alias("w"))  # as many as combinations of stretches
+    later = cells.select(F.col("i").alias("j"), F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("w").alias("w2"))
+    apart = cells.join(later, (F.col("i") == F.col("j")) & (F.col("s") < F.col("s2")) & (F.col("t") > F.col("t2"))).groupBy("i").agg(F.sum(F.col("w") * F.col("w2")).alias("d"))
+    parts = [apart, within(both, "s"), within(both, "t"), within(both, "s", "t").select("i", (-F.col("d")).alias("d"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("i").agg(F.sum("d").alias("d"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> pd.DataFrame:
@@ -162,18 +228,11 @@ def moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarr
         return np.zeros((k, k)), np.zeros(k), 0
     base = np.array(list(first), float)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, s, p = 0, np.zeros(k), np.zeros((k, k))
-        for batch in batches:
-            x = batch.to_numpy(float) - base
-            n, s, p = n + len(x), s + x.sum(0), p + x.T @ x
-        values = np.concatenate([[n], s, p.ravel()])
-        yield pd.DataFrame({"place": np.arange(len(values)), "value": values})
-
-    rows = own.mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-    values = np.zeros(1 + k + k * k)
-    for r in rows:
-        values[r["place"]] = r["value"]
+    def partial(x: np.ndarray) -> np.ndarray:
+        x = x - base
+        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
+    values = _summed(own, 1 + k + k * k, partial)
     n, s, p = int(values[0]), values[1 : 1 + k], values[1 + k :].reshape(k, k)
     gram = p + np.outer(s, base) + np.outer(base, s) + n * np.outer(base, base)
     return gram, s / n + base, n

@@ -122,8 +122,7 @@ def score_edges(points: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
     out = None
     for k, long in parts:
         weighted = long.select(*by, F.lit("s").alias("feature"), F.col("s").alias("x"), (F.col("good") + F.col("bad")).alias("times"))
-        spread = weighted.select(*by, "feature", "x", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__i")).drop("__i")
-        rows = quantile_rows(spread, [i / k for i in range(k + 1)], by)
+        rows = quantile_rows(weighted, [i / k for i in range(k + 1)], by, "times")
         edges = rows.groupBy(*by).agg(F.array_sort(F.collect_set("value")).alias("e")) if by else rows.agg(F.array_sort(F.collect_set("value")).alias("e"))
         edges = edges.select(*by, F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0))).alias("edges"))
         out = edges if out is None else out.unionByName(edges)

@@ -58,10 +58,10 @@ def batch_iv(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
         sizes = {r["feature"]: (r["d"], r["n"]) for r in values.where("x is not null").groupBy("feature").agg(F.count("*").alias("d"), F.sum("total").alias("n")).collect()}
         distinct = {f: d for f, (d, _) in sizes.items()}
         edges = _positions(values, {f: (min(bins, d), n) for f, (d, n) in sizes.items()})
-        code = F.lit(None).cast("int")
-        for f in numbers:
-            code = F.when(F.col("feature") == f, B.bin_code(F.col("x"), edges.get(f, []), closed="left") if distinct.get(f, 0) > 1 else F.lit(0)).otherwise(code)
-        binned = values.withColumn("bin", code.cast("string")).groupBy("feature", "bin").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
+        table = df.sparkSession.createDataFrame([(f, edges.get(f, []) if distinct.get(f, 0) > 1 else None) for f in numbers], "__f string, __edges array<double>")
+        coded = values.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
+        code = F.when(F.col("__edges").isNull(), F.lit(0)).when(F.col("x").isNull(), F.lit(-1)).otherwise(F.size(F.filter("__edges", lambda e: e <= F.col("x"))))
+        binned = coded.withColumn("bin", code.cast("string")).groupBy("feature", "bin").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
         parts.append(with_woe(binned.withColumn("good", F.col("total") - F.col("bad"))))
     texts = [f for f in features if f not in numbers]
     if texts:
@@ -80,13 +80,11 @@ def _positions(values: DataFrame, cells: dict[str, tuple[int, int]]) -> dict[str
     out: dict[str, list[float]] = {f: [] for f in cells}
     if not wanted:
         return out
-    own = values.where(F.col("x").isNotNull() & F.col("feature").isin(list(wanted)))
-    run = running_sums(own, ["feature"], "x", ["total"])
-    places = F.array().cast("array<long>")
-    for f, at in wanted.items():
-        places = F.when(F.col("feature") == f, F.array(*[F.lit(int(p)).cast("long") for p in at])).otherwise(places)
+    table = values.sparkSession.createDataFrame([(f, [int(p) for p in at]) for f, at in wanted.items()], "__f string, __places array<long>")
+    run = running_sums(values.where(F.col("x").isNotNull() & F.col("feature").isin(list(wanted))), ["feature"], "x", ["total"])
     first, after = F.col("before_total"), F.col("before_total") + F.col("total")
-    rows = run.where(F.exists(places, lambda p: (p >= first) & (p < after))).select("feature", "x").collect()  # at most k + 1 a feature
+    held = run.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
+    rows = held.where(F.exists("__places", lambda p: (p >= first) & (p < after))).select("feature", "x").collect()  # at most k + 1 a feature
     for f in wanted:
         out[f] = sorted({r["x"] for r in rows if r["feature"] == f})[1:-1]
     return out
@@ -145,26 +143,37 @@ def bin_statistics(binned: DataFrame, by: Sequence[str] = ("feature",)) -> DataF
     return out.withColumn("ks", F.abs(F.col("cum_bads_prop") - F.col("cum_goods_prop"))).select(*by, "bin_idx", *STATS)
 
 
+#: Values of a column whose weights become part of a plan and are known to the driver; more stay a DataFrame that is joined.
+IN_PLAN = 2_000
+
+
 class WOEEncoder:
-    """Weights of evidence of one column's values as text; values not seen get 0."""
+    """Weights of evidence of one column's values as text; values not seen get 0. Of a column with more than IN_PLAN values only `weights`, a DataFrame (bin, woe), is kept."""
 
     def __init__(self, column: str):
         self.column = column
         self.table: dict[str, float] | None = None
+        self.weights: DataFrame | None = None
         self.iv: float | None = None
 
     def fit(self, df: DataFrame, y: str) -> WOEEncoder:
-        rows = categorical_iv(df, [self.column], y).select("bin", "woe", "iv_contribution").collect()
-        self.table = {r["bin"]: r["woe"] for r in rows}
-        self.iv = sum(r["iv_contribution"] for r in rows)
+        own = WOETransformer([self.column]).fit(df, y).encoders[self.column]
+        self.table, self.weights, self.iv = own.table, own.weights, own.iv
         return self
 
     def transform(self, df: DataFrame, output: str | None = None) -> DataFrame:
-        if self.table is None:
+        if self.table is None and self.weights is None:
             raise ValueError("WOEEncoder is not fitted. Call fit() first.")
-        return df.withColumn(output or self.column, self.expression(df))
+        output = output or self.column
+        if self.weights is None:
+            return df.withColumn(output, self.expression(df))
+        named = self.weights.select(F.col("bin").alias("__bin"), F.col("woe").alias("__woe"))
+        joined = df.join(named, category(df, self.column) == F.col("__bin"), "left")
+        return joined.withColumn(output, F.coalesce("__woe", F.lit(0.0))).drop("__bin", "__woe")
 
     def expression(self, df: DataFrame) -> Column:
+        if self.table is None:
+            raise ValueError(f"{self.column} has more than {IN_PLAN} values, use transform()")
         text = category(df, self.column)
         if not self.table:
             return F.lit(0.0)
@@ -184,24 +193,38 @@ class WOETransformer:
     def fit(self, df: DataFrame, y: str) -> WOETransformer:
         columns = self.columns or [c for c in df.columns if c != y]
         self.encoders = {c: WOEEncoder(c) for c in columns}
-        for e in self.encoders.values():
-            e.table, e.iv = {}, 0.0
-        for r in categorical_iv(df, columns, y).select("feature", "bin", "woe", "iv_contribution").collect():
-            e = self.encoders[r["feature"]]
-            e.table[r["bin"]] = r["woe"]
-            e.iv += r["iv_contribution"]
+        woes = categorical_iv(df, columns, y).select("feature", "bin", "woe", "iv_contribution")
+        first = F.row_number().over(Window.partitionBy("feature").orderBy("bin"))
+        # IN_PLAN + 1 rows a column at most
+        rows = woes.withColumn("__i", first).where(F.col("__i") <= IN_PLAN + 1).collect()
+        held: dict[str, list] = {c: [] for c in columns}
+        for r in rows:
+            held[r["feature"]].append(r)
+        wide = [c for c, own in held.items() if len(own) > IN_PLAN]
+        ivs = {r["feature"]: r["iv"] for r in woes.where(F.col("feature").isin(wide)).groupBy("feature").agg(F.sum("iv_contribution").alias("iv")).collect()} if wide else {}
+        for c, e in self.encoders.items():
+            if c in wide:
+                e.weights, e.iv = woes.where(F.col("feature") == c).select("bin", "woe"), ivs[c]
+            else:
+                e.table, e.iv = {r["bin"]: r["woe"] for r in held[c]}, sum((r["iv_contribution"] for r in held[c]), 0.0)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.encoders:
             raise ValueError("WOETransformer is not fitted. Call fit() first.")
-        return df.withColumns({c: e.expression(df) for c, e in self.encoders.items() if c in df.columns})
+        names = df.columns
+        out = df.withColumns({c: e.expression(df) for c, e in self.encoders.items() if c in names and e.weights is None})
+        for c, e in self.encoders.items():
+            if c in names and e.weights is not None:
+                out = e.transform(out)
+        return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in names])
 
     def iv_table(self) -> list[tuple[str, float]]:
         return sorted(((c, e.iv) for c, e in self.encoders.items()), key=lambda p: -p[1])
 
     def export(self) -> dict[str, dict[str, float]]:
-        return {c: dict(e.table) for c, e in self.encoders.items()}
+        """Tables by column. Columns of more than IN_PLAN values are gathered on the driver here."""
+        return {c: dict(e.table) if e.weights is None else {r["bin"]: r["woe"] for r in e.weights.collect()} for c, e in self.encoders.items()}
 
     def load(self, held: dict[str, dict[str, float]]) -> WOETransformer:
         self.encoders = {}
