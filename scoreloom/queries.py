@@ -95,6 +95,18 @@ def _union(parts: Sequence[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+_TENTHS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
+
+
+def _edges(column: str, source: str = "d", where: str = "true", probabilities: str = _TENTHS) -> str:
+    """A scalar list of inner quantile edges."""
+    return f"(SELECT list_sort(list_distinct(quantile_cont({column}, {probabilities})))[2:-2] FROM {source} WHERE {where})"
+
+
+def _code(x: str, edges: str, closed: str = "right") -> str:
+    return f"len(list_filter({edges}, lambda e: e {'<' if closed == 'right' else '<='} {x}))"
+
+
 # ---- binning
 
 
@@ -148,30 +160,47 @@ def bin_optimal(spark, sf_dir):
     return _splits_frame(spark, binning.fit_splits(lines(spark, sf_dir), NUMBERS, "y", "opt", 5, monotonic="auto_asc_desc"))
 
 
-@query()
+def _merged_sql(first: str, at: str, seeds: str) -> str:
+    """Split points after neighbouring bins are merged as long as `at` names one: bin i and the next. first: CTEs ending in f (feature, s, n, b), lists of splits, rows and bads; seeds: columns that `at` uses."""
+    return (
+        f"WITH RECURSIVE {first}, m AS (SELECT 0 AS k, feature, s, n, b FROM f UNION ALL"
+        " SELECT k + 1, feature, list_concat(s[:i - 1], s[i + 1:]), list_concat(list_append(n[:i - 1], n[i] + n[i + 1]), n[i + 2:]), list_concat(list_append(b[:i - 1], b[i] + b[i + 1]), b[i + 2:])"
+        f" FROM (SELECT *, {at} AS i FROM (SELECT *, {seeds} FROM m)) WHERE i IS NOT NULL AND len(s) > 0),"
+        " z AS (SELECT feature, arg_max(s, k) AS s FROM m GROUP BY 1)"
+        f" SELECT feature, CAST(p - 1 AS BIGINT) AS place, {r('s[p]', 'split')} FROM (SELECT feature, s, unnest(range(1, len(s) + 1)) AS p FROM z)"
+    )
+
+
+def _counted_sql(splits: str) -> str:
+    """f (feature, s, n, b) from splits, a scalar list by column."""
+    parts = [f"SELECT '{c}' AS feature, any_value(s) AS s, list(n ORDER BY i) AS n, list(b ORDER BY i) AS b FROM (SELECT s, i, (SELECT count(*) FROM d WHERE {_code(c, 's')} = i) AS n, (SELECT coalesce(sum(y), 0) FROM d WHERE {_code(c, 's')} = i) AS b FROM (SELECT s, unnest(range(0, len(s) + 1)) AS i FROM (SELECT {splits.format(c=c)} AS s)))" for c in NUMBERS]
+    return f"{L}, f AS ({_union(parts)})"
+
+
+@query(
+    _merged_sql(
+        _counted_sql("(SELECT list_sort(list_distinct(quantile_cont({c}, [0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0])))[2:-2] FROM d)"),
+        "CASE WHEN len(falls) = 0 OR len(rises) = 0 THEN NULL WHEN rate[-1] > rate[1] THEN falls[1] ELSE rises[1] END",
+        "list_transform(range(1, len(n) + 1), lambda j: b[j] / CAST(n[j] AS DOUBLE)) AS rate, list_filter(range(1, len(n)), lambda j: rate[j + 1] < rate[j]) AS falls, list_filter(range(1, len(n)), lambda j: rate[j + 1] > rate[j]) AS rises",
+    )
+)
 def bin_monotone(spark, sf_dir):
     return _splits_frame(spark, binning.fit_splits(lines(spark, sf_dir), NUMBERS, "y", "quantile", 8, monotonic=True))
 
 
-@query()
+@query(
+    _merged_sql(
+        _counted_sql("(SELECT list_transform(range(1, 9), lambda i: min({c}) + (max({c}) - min({c})) * i / 9.0) FROM d)"),
+        "CASE WHEN i1 IS NULL THEN NULL WHEN i1 = 1 THEN 1 WHEN i1 = len(n) THEN i1 - 1 WHEN n[i1 - 1] <= n[i1 + 1] THEN i1 - 1 ELSE i1 END",
+        "list_filter(range(1, len(n) + 1), lambda j: n[j] < ceil(0.12 * list_sum(n)))[1] AS i1",
+    )
+)
 def bin_min_samples(spark, sf_dir):
     return _splits_frame(spark, binning.fit_splits(lines(spark, sf_dir), NUMBERS, "y", "step", 9, min_samples=0.12))
 
 
 # ---- weights of evidence
 
-_TENTHS = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
-
-
-def _edges(column: str, source: str = "d", where: str = "true", probabilities: str = _TENTHS) -> str:
-    """A scalar list of inner quantile edges."""
-    return f"(SELECT list_sort(list_distinct(quantile_cont({column}, {probabilities})))[2:-2] FROM {source} WHERE {where})"
-
-
-def _code(x: str, edges: str, closed: str = "right") -> str:
-    return f"len(list_filter({edges}, lambda e: e {'<' if closed == 'right' else '<='} {x}))"
-
-
 def _woe_cte(counts: str, by: str = "feature") -> str:
     """counts: (by, bin..., total, bad)."""
     return (
@@ -542,7 +571,12 @@ def corr_spearman(spark, sf_dir):
     return correlation.correlations(orders(spark, sf_dir), ["score", "o_custkey"], "spearman")
 
 
-@query()
+@query(
+    f"WITH {L}, p AS ("
+    + _union([f"SELECT {i} AS i, '{a}' AS var1, '{b}' AS var2, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM d WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, (a, b) in enumerate([("qn", "l_discount"), ("qn", "l_tax"), ("l_discount", "l_tax")])])
+    + "), c AS (SELECT i, var1, var2, x, y, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY ALL)"
+    + f" SELECT a.var1, a.var2, {r('sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(a.n * b.n * abs(sign(a.x - b.x))) * sum(a.n * b.n * abs(sign(a.y - b.y))))', 'correlation')} FROM c a JOIN c b USING (i) GROUP BY 1, 2"
+)
 def corr_kendall(spark, sf_dir):
     return correlation.correlations(lines(spark, sf_dir), ["qn", "l_discount", "l_tax"], "kendall")
 
@@ -696,3 +730,6 @@ def exact_quantiles(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "SQL", "lines", "orders", "woe_table"]
+
+
+from . import queries_models  # noqa: E402, F401  registers its queries here
