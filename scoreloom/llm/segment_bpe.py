@@ -22,7 +22,7 @@ from . import _text as T
 
 _NONE = 1 << 62
 #: Remembered strings a generation and worker; two generations are kept.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -154,8 +154,6 @@ class Codec:
         self.letters = _byte_letters()
         self.simple = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.pieces, self.chunks = _Memory(self._piece), _Memory(self._chunk)
-        names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         # white space of the normaliser: str.split() also parts at these four
         self.odd, self.spaces = re.compile("[\x1c-\x1f]"), re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -193,11 +191,18 @@ class Codec:
         self.pieces.trim()
         return out
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """Texts of a list array of ids: the tokens' names with a space between, as the file has no decoder."""
-        flat = self.names.take(ids.values.slice(ids.offsets[0].as_py(), ids.offsets[-1].as_py() - ids.offsets[0].as_py()))
-        offsets = pc.subtract(ids.offsets, ids.offsets[0])
-        return pc.binary_join(pa.ListArray.from_arrays(offsets.cast(pa.int32()), flat), " ")
+
+def token_names(held: dict) -> list[str | None]:
+    """Of a tokenizer file: the name of each id."""
+    names = {i: t for t, i in held["model"]["vocab"].items()} | {x["id"]: x["content"] for x in held["added_tokens"]}
+    return [names.get(i) for i in range(max(names) + 1)]
+
+
+def decoded(ids: pa.Array, names: pa.Array) -> pa.Array:
+    """Texts of a list array of ids: the tokens' names with a space between, as the file has no decoder."""
+    first, last = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+    offsets = pc.subtract(ids.offsets, ids.offsets[0])
+    return pc.binary_join(pa.ListArray.from_arrays(offsets.cast(pa.int32()), names.take(ids.values.slice(first, last - first))), " ")
 
 
 _codecs: dict[str, Codec] = {}
@@ -240,13 +245,19 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids and decoded of every row of encoded (doc_id, ids; other columns are not read): the text of its ids, special tokens included. Null and empty ids give the empty text."""
-    sent = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    held = json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))
+    if found := unfit(held):
+        raise ValueError(f"segment_bpe doesn't follow {', '.join(found)} of {tokenizer_path}")
+    # names alone: the worker that decodes needs neither ranks nor memories
+    sent = encoded.sparkSession.sparkContext.broadcast(token_names(held))
 
     @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value)
+        names = pa.array(sent.value, pa.string())
         for batch in batches:
-            ids = pc.fill_null(batch.column("ids"), []) if batch.column("ids").null_count else batch.column("ids")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), codec.decode(ids)], ["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = pc.fill_null(part.column("ids"), []) if part.column("ids").null_count else part.column("ids")
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), decoded(ids, names)], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
