@@ -80,6 +80,13 @@ def month_text(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.date_format(read, "yyyyMM"), F.nullif(digits, F.lit("")), text, F.lit(""))
 
 
+def date_range(column: Column) -> Column:
+    """An aggregate: YYYYMMDD-YYYYMMDD of the first and last readable date, "" without one."""
+    text = F.substring(F.trim(column.cast("string")), 1, 10)
+    day = F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy-MM", "yyyy/MM")]))
+    return F.concat_ws("-", F.date_format(F.min(day), "yyyyMMdd"), F.date_format(F.max(day), "yyyyMMdd"))
+
+
 def tag_rank(column: Column) -> Column:
     """Place of a sample set in reports: train, test, oot, oos, then others."""
     out = F.lit(len(TAG_ORDER))

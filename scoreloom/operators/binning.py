@@ -52,16 +52,25 @@ def check_labels(df: DataFrame, y: str) -> None:
 
 
 class BaseBinner:
-    """One binning method over several features; subclasses or METHODS name give the splits."""
+    """One binning method over several features. A subclass names one of METHODS, or brings its own as `splits_of`."""
 
     method = "step"
+    #: (x, n, bad, n_bins) -> split points, of the sorted distinct values of one feature, their rows and their bad rows (0 without a target), in numpy. Runs on the workers, a task a feature.
+    splits_of = None
 
     def __init__(self, n_bins: int = 5, **options):
         self.n_bins, self.options = n_bins, options
         self.splits_: dict[str, list[float]] | None = None
 
     def fit(self, df: DataFrame, features: Sequence[str], y: str | None = None) -> BaseBinner:
-        self.splits_ = fit_splits(df, features, y, self.method, self.n_bins, **self.options)
+        own = type(self).splits_of
+        if own is None:
+            self.splits_ = fit_splits(df, features, y, self.method, self.n_bins, **self.options)
+        else:
+            options = {"min_samples": None, "monotonic": None} | self.options
+            if y is None and options["monotonic"]:
+                raise ValueError("a monotone repair needs a target")
+            self.splits_ = _grouped(value_counts(df, features, y), list(features), "own", self.n_bins, options["min_samples"], options["monotonic"], 0.0, own)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -147,13 +156,15 @@ def _repaired(df: DataFrame, splits: dict[str, list[float]], y: str | None, mono
     return out
 
 
-def _grouped(values: DataFrame, features: Sequence[str], method: str, n_bins: int, min_samples, monotonic, alpha: float) -> dict[str, list[float]]:
+def _grouped(values: DataFrame, features: Sequence[str], method: str, n_bins: int, min_samples, monotonic, alpha: float, own=None) -> dict[str, list[float]]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("x")
         x, n, bad = frame["x"].to_numpy(float), frame["n"].to_numpy(float), frame["bad"].to_numpy(float)
         total = int(n.sum())
         least = K.least_rows(0.05 if method == "chi" and min_samples is None else min_samples, total)
-        if method == "kmean":
+        if own is not None:
+            splits = own(x, n, bad, n_bins)
+        elif method == "kmean":
             splits = K.kmeans_splits(x, n, n_bins)
         elif method == "dt":
             splits = K.tree_splits(x, n, bad, n_bins, least if least else K.least_rows(0.05, total))

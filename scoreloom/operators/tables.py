@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins as B
-from ..functions.columns import EPSILON, col, label, numeric, positive, ratio, report_order, tag_rank
+from ..functions.columns import EPSILON, col, date_range, label, numeric, positive, ratio, report_order, tag_rank
 from ..functions.quantiles import quantiles
 from . import metrics as M
 from . import psi as P
@@ -179,12 +179,13 @@ def portrait_pivot(df: DataFrame, scores: Sequence[str], variables: Sequence[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def group_metrics(df: DataFrame, y: str, score: str, by: Sequence[str], model: str | None = None, tag: str | None = None, month: str | None = None, reverse_auc: bool = False, principal: str | None = None, loan: str | None = None, train: DataFrame | None = None, latest: bool = False, levels: Sequence[float] = M.LEVELS) -> DataFrame:
+def group_metrics(df: DataFrame, y: str, score: str, by: Sequence[str], model: str | None = None, tag: str | None = None, month: str | None = None, reverse_auc: bool = False, principal: str | None = None, loan: str | None = None, train: DataFrame | None = None, latest: bool = False, levels: Sequence[float] = M.LEVELS, date: str | None = None) -> DataFrame:
     """样本标签, 模型, 样本集, 观察点月, core metrics[, amounts], PSI against train, PSI against the latest month.
 
     tag and month name the group columns that fill 样本集 and 观察点月; a column not grouped by
     shows the sets or months present. train: rows whose scores are the reference of the
-    first PSI. latest: fill the second, each sample set against its latest month.
+    first PSI. latest: fill the second, each sample set against its latest month. date: a
+    column of dates, whose range stands in 观察点月 of sample sets.
     """
     by = list(by)
     out = M.binary_metrics(df, y, score, by, levels=levels, reverse_auc=reverse_auc, descending=not reverse_auc)
@@ -208,9 +209,12 @@ def group_metrics(df: DataFrame, y: str, score: str, by: Sequence[str], model: s
     if tag and tag not in by:
         sets = df.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(tag_rank(col(tag)).alias("r"), col(tag).cast("string").alias("t")))).alias("s"))
         out = P._with(out, sets.select(*by, F.array_join(F.transform("s", lambda x: x["t"]), ",").alias("__sets")), by)
+    dated = bool(date) and by == [tag]
+    if dated:
+        out = P._with(out, df.groupBy(*by).agg(date_range(col(date)).alias("__range")), by)
     amounts = [c for c in out.columns if "金额" in c or "本金" in c]
     others = [c for c in by if c not in (tag, month)]
-    out = out.select(F.lit(y).alias("样本标签"), F.lit(model or score).alias("模型"), (col(tag) if tag in by else F.col("__sets") if tag else F.lit("")).alias("样本集"), (col(month) if month in by else F.lit("")).alias("观察点月"), *others, *M.core_columns(levels), *amounts, *PSI_COLUMNS)
+    out = out.select(F.lit(y).alias("样本标签"), F.lit(model or score).alias("模型"), (col(tag) if tag in by else F.col("__sets") if tag else F.lit("")).alias("样本集"), (col(month) if month in by else F.col("__range") if dated else F.lit("")).alias("观察点月"), *others, *M.core_columns(levels), *amounts, *PSI_COLUMNS)
     return report_order(out, others, tag="样本集", month="观察点月")
 
 

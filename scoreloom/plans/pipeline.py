@@ -11,13 +11,15 @@ from ..operators.binning import Binner
 from ..operators.logistic import LogisticModel
 from ..operators.scorecard import Scorecard
 from ..operators.selection import FeatureSelector, PostFilter, StepwiseSelector
+from ..operators.woe import WOETransformer
 
 
 class ScorecardPipeline:
     """prefilter, bin, woe_transform, postfilter, stepwise, build_model, generate_scorecard and score, each on what the ones before left.
 
     Frames stay lazy: a step keeps expressions and small fitted state, so scoring is one
-    projection over the input. Features without a binning rule are left out by woe_transform.
+    projection over the input. Features without a binning rule, texts above all, take the
+    weights of evidence of their values; a scorecard needs a rule for every feature of its model.
     """
 
     def __init__(self, train: DataFrame, y: str, test: DataFrame | None = None, features: Sequence[str] | None = None):
@@ -26,6 +28,7 @@ class ScorecardPipeline:
         self.steps: list[str] = []
         self.selector: FeatureSelector | None = None
         self.binner: Binner | None = None
+        self.encoder: WOETransformer | None = None
         self.post: PostFilter | None = None
         self.stepper: StepwiseSelector | None = None
         self.model: LogisticModel | None = None
@@ -52,11 +55,17 @@ class ScorecardPipeline:
 
     def woe_transform(self) -> ScorecardPipeline:
         self._after("woe_transform", "bin")
-        self.features = [f for f in self.features if f in self.binner.rules_]
-        self._woe = self.binner.woe_transform(self.train)
-        self._woe_test = self.binner.woe_transform(self.test) if self.test is not None else None
+        unbinned = [f for f in self.features if f not in self.binner.rules_]
+        self.encoder = WOETransformer(unbinned).fit(self.train, self.y) if unbinned else None
+        self._woe = self.encoded(self.train)
+        self._woe_test = self.encoded(self.test) if self.test is not None else None
         return self
 
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """df with every feature as its weight of evidence; values not seen in train: 0."""
+        out = self.binner.woe_transform(df) if self.binner.rules_ else df
+        return self.encoder.transform(out) if self.encoder is not None else out
+
     def postfilter(self, **options) -> ScorecardPipeline:
         self._after("postfilter", "woe_transform")
         self.post = PostFilter(**options).fit(self._woe, self._woe_test if self._woe_test is not None else self._woe, self.features)
@@ -88,8 +97,12 @@ class ScorecardPipeline:
         """df with the model's probability. Weights of evidence stand in for the features within the expression only."""
         if self.model is None:
             raise ValueError("predict_proba comes after ['build_model']")
-        woe = {f: self.binner.woe_expression(df, f) for f in self.model.columns_}
-        names = {f: f"__woe_{i}" for i, f in enumerate(woe)}
-        out = df.withColumns({names[f]: e for f, e in woe.items()})
+        names = {f: f"__woe_{i}" for i, f in enumerate(self.model.columns_)}
+        # the features once more, under names of their own, to be encoded beside the others
+        ruled = {names[f]: self.binner.woe_expression(df, f) for f in names if f in self.binner.rules_}
+        out = df.withColumns(ruled)
+        for f in names:
+            if names[f] not in ruled:
+                out = self.encoder.encoders[f].transform(out, names[f])
         renamed = LogisticModel(columns_=list(names.values()), coefficients_={names.get(k, k): v for k, v in self.model.coefficients_.items()})
         return renamed.predict_proba(out, output).drop(*names.values())

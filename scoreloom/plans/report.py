@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, label, month_text, tag_text
 from ..operators import binning, tables
+from ..operators import features as FT
 from ..operators.correlation import correlation_matrix
+from ..operators.importance import ModelView
 from ..operators.metrics import amount_metrics, binary_metrics
-from ..operators.psi import psi_features
 from ..operators.selection import eda_summary
-from ..operators.woe import batch_iv
-from ..sources.xlsx import write_workbook
+from ..sources.xlsx import Chart, write_workbook
 
 # Keys of sheets and their names; appendices are numbered as they come.
 SHEETS = {
@@ -37,6 +37,7 @@ INDEX = {1: "overview", 2: "model_design", 3: "variable_analysis", 4: "model_per
 class Block:
     title: str
     data: DataFrame
+    chart: Chart | None = None
 
 
 @dataclass
@@ -53,7 +54,7 @@ class Report:
     optionally features, dimensions, other scores, amounts and portrait variables.
     """
 
-    def __init__(self, data: DataFrame, labels: Sequence[str], score: str, tag: str, date: str, features: Sequence[str] = (), dimensions: Sequence[str] = (), old_scores: Sequence[str] = (), variables: Sequence[str] = (), principal: str | None = None, loan: str | None = None, scorecard=None, dictionary: DataFrame | None = None, method: str = "quantile"):
+    def __init__(self, data: DataFrame, labels: Sequence[str], score: str, tag: str, date: str, features: Sequence[str] = (), dimensions: Sequence[str] = (), old_scores: Sequence[str] = (), variables: Sequence[str] = (), principal: str | None = None, loan: str | None = None, scorecard=None, dictionary: DataFrame | None = None, method: str = "quantile", model=None):
         lacking = [c for c in [*labels, score, tag, date, *features, *dimensions, *old_scores, *variables, *[c for c in (principal, loan) if c]] if c not in data.columns]
         if lacking:
             raise ValueError(f"data lacks {lacking}")
@@ -63,7 +64,9 @@ class Report:
         self.data = data.withColumn(tag, tag_text(col(tag))).withColumn(self.month, month_text(data, date))
         self.labels, self.score, self.tag, self.features = list(labels), score, tag, list(features)
         self.dimensions, self.old_scores, self.variables, self.principal, self.loan = list(dimensions), list(old_scores), list(variables), principal, loan
-        self.scorecard, self.dictionary, self.method = scorecard, dictionary, method
+        self.date, self.scorecard, self.dictionary, self.method = date, scorecard, dictionary, method
+        view = model if model is not None else scorecard
+        self.model = view if view is None or isinstance(view, ModelView) else ModelView(view)
 
     def _of(self, name: str) -> DataFrame:
         return self.data.where(F.lower(col(self.tag)) == name)
@@ -93,11 +96,18 @@ class Report:
         return out
 
     def _split(self) -> list[Block]:
-        by_tag, by_month = tables.split_metrics(self.data, self.labels, self.score, self.tag, self.month, principal=self.principal, loan=self.loan)
+        by_tag, by_month = tables.split_metrics(self.data, self.labels, self.score, self.tag, self.month, principal=self.principal, loan=self.loan, date=self.date)
         return [Block("各样本集模型效果", by_tag), Block("分月模型效果", by_month)]
 
     def _overview(self) -> list[Block]:
-        return [Block("分数方向", tables.score_direction(self.data, self.labels[0], [self.score, *self.old_scores], self.tag)), *self._split()]
+        """Goals (a table to fill in), the effect of the iteration, and what the appendices show."""
+        goals = self.data.sparkSession.createDataFrame([], "`迭代目标` string, `问题` string, `原因` string, `迭代方向` string")
+        out = [Block("一、目标与设计方案", goals), Block("二、迭代效果 分数方向", tables.score_direction(self.data, self.labels[0], [self.score, *self.old_scores], self.tag)), *self._split()]
+        there = self.available()
+        for key in ("dimensional_comparison", "model_comparison", "portrait"):
+            if key in there:
+                out += [Block(f"{SHEETS[key]} {b.title}", b.data) for b in getattr(self, f"_{key}")()]
+        return out
 
     def _model_design(self) -> list[Block]:
         out = [Block(f"样本分布 {y}", tables.label_distribution(self.data, y, self.tag, self.month)) for y in self.labels]
@@ -107,30 +117,46 @@ class Report:
     def _variable_analysis(self) -> list[Block]:
         if not self.features:
             return []
-        y, train, oot = self.labels[0], self._of("train"), self._of("oot")
-        train = train.where(label(train, y).isNotNull())
-        table = eda_summary(self.data, self.features)
-        for name, part in (("train", train), ("oot", oot)):
-            table = table.join(batch_iv(part, self.features, y).select(F.col("feature").alias("__f"), F.col("iv").alias(f"iv_{name}")), F.col("feature") == F.col("__f"), "left").drop("__f")
-        stable = psi_features(train, oot, self.features).select(F.col("feature").alias("__f"), "psi")
-        table = table.join(stable, F.col("feature") == F.col("__f"), "left").drop("__f")
-        out = [Block("变量表", table)]
+        y, train, oot, spark = self.labels[0], self._of("train"), self._of("oot"), self.data.sparkSession
+        labelled = train.where(label(train, y).isNotNull())
+        rules = dict(self.scorecard.splits) if self.scorecard is not None else {}
+        rules = {f: s for f, s in rules.items() if f in self.features}
+        importance = self.model.importance() if self.model is not None else []
+        summary = self.model.summary() if self.model is not None else []
+        table = FT.variable_table(train, oot, self.features, y, rules, importance, self.dictionary, summary)
+        shown_importance = self.model is not None and self.model.family not in ("scorecard", "logistic")
+        if not shown_importance:
+            table = table.drop("gain", "gain_per", "weight", "weight_per")
+        rank = {r["feature"]: i for i, r in enumerate(importance)}
+        ordered = sorted(self.features, key=lambda f: rank.get(f, len(rank)))
+        top = ordered if self.scorecard is not None else ordered[: FT.TOP]
+        out = [Block("一、变量筛选", FT.selection_summary(spark, len(self.features), len(top)))]
         if self.dictionary is not None:
-            named = table.join(self.dictionary, F.col("feature") == F.col("英文名"), "left")
-            out = [Block("变量表", named.drop("英文名")), Block("变量类型分布", named.groupBy("来源").agg(F.count("*").alias("变量数")))]
-        splits = binning.fit_splits(train, self.features, y, self.method)
-        out += [Block(f"{f} train分箱", tables.feature_bin_stats(train, f, y, s)) for f, s in splits.items()]
-        return out + [Block(f"{f} oot分箱", tables.feature_bin_stats(oot, f, y, s)) for f, s in splits.items()]
+            out.append(Block("变量类型分布", FT.type_distribution(spark, self.features, self.dictionary)))
+        out += [Block("二、变量分析", table), Block("变量EDA", eda_summary(self.data, self.features))]
+        if self.model is not None and (stats := self.model.model_summary()):
+            out.append(Block("三、模型统计摘要", spark.createDataFrame([(n, None if v is None else float(v)) for n, v in stats], "`统计项` string, `数值` double")))
+        # one pass for the bins of all features, of each set, and one for all months
+        rest = [f for f in top if f not in rules]
+        splits = rules | (binning.fit_splits(labelled, rest, y, self.method) if rest else {})
+        bins = {name: FT.feature_bins(part, splits, y) for name, part in (("训练", train), ("OOT", oot))}
+        months = FT.monthly_metrics(self.data, train, top, y, self.month, splits)
+        for i, f in enumerate(top, 1):
+            for name, of in bins.items():
+                out.append(Block(f"{i}.{f} {name}分箱表", of.where(F.col("feature") == f).drop("feature", "bin_idx"), Chart("bin", "total_prop", "bad_rate", f"{f} {name}")))
+            out.append(Block(f"{i}.{f} 按月效果", months.where(F.col("feature") == f).drop("feature")))
+        return out
 
     def _scorecard_details(self) -> list[Block]:
         card, spark = self.scorecard, self.data.sparkSession
-        held = [("base_score", card.base_score), ("pdo", card.pdo), ("base_odds", card.base_odds), ("factor", card.factor), ("offset", card.offset), ("intercept_points", card.intercept_points)]
-        return [Block("评分卡参数", spark.createDataFrame(held, "`参数名称` string, `数值` double")), Block("评分卡明细", card.export(spark))]
+        view = self.model if self.model is not None and self.model.model is card else ModelView(card)
+        return [Block("评分卡参数", spark.createDataFrame(view.parameters(), "`参数名称` string, `数值` string, `参数解释` string")), Block("评分卡明细", card.export(spark))]
 
     def _model_performance(self) -> list[Block]:
         y = self.labels[0]
         edges = tables.quantile_edges(self._of("train"), self.score)
-        return [*self._split(), Block("各样本集分箱", tables.bin_performance(self.data, y, self.score, edges, [self.tag])), Block("分月分箱", tables.bin_performance(self.data, y, self.score, edges, [self.month]))]
+        params = [Block("模型参数", self.data.sparkSession.createDataFrame(self.model.parameters(), "`参数名称` string, `数值` string, `参数解释` string"))] if self.model is not None else []
+        return [*params, *self._split(), Block("各样本集分箱", tables.bin_performance(self.data, y, self.score, edges, [self.tag])), Block("分月分箱", tables.bin_performance(self.data, y, self.score, edges, [self.month]))]
 
     def _dimensional_comparison(self) -> list[Block]:
         oot = self._of("oot")
@@ -158,4 +184,4 @@ class Report:
 
     def write(self, path: str, sheets: Sequence[str | int] | None = None) -> None:
         """A workbook of the sheets; every table is of the size of its groups or bins."""
-        write_workbook(path, {s.name: [(b.title, b.data.columns, [list(r) for r in b.data.collect()]) for b in s.blocks] for s in self.build(sheets)})
+        write_workbook(path, {s.name: [(b.title, b.data.columns, [list(r) for r in b.data.collect()], b.chart) for b in s.blocks] for s in self.build(sheets)})

@@ -732,4 +732,4 @@ def exact_quantiles(spark, sf_dir):
 __all__ = ["QUERIES", "SQL", "lines", "orders", "woe_table"]
 
 
-from . import queries_models  # noqa: E402, F401  registers its queries here
+from . import queries_models, queries_report  # noqa: E402, F401  they register their queries here
