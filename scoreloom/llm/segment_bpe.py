@@ -25,58 +25,49 @@ _NONE = 1 << 62
 MEMORY = 150_000
 
 
-def merge(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merges the leftmost pair of the lowest rank until no pair of neighbours has one. ranks: pair -> (rank, id of the merged symbol)."""
+def merge(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
+    """Merges the leftmost pair of the lowest rank until no pair of neighbours has one. ranks: pair -> rank << 32; made: rank -> id of the merged symbol."""
     n = len(ids)
     if n < 2:
         return ids
-    ids = list(ids)
+    ids, get = list(ids), ranks.get
     width = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * width)
-    get = ranks.get
-    for i in range(n - 1):
-        if found := get((ids[i], ids[i + 1])):
-            tree[width + i] = found[0] << 32 | i
+    # a leaf is rank and place, or _NONE and more
+    leaves = [get(pair, _NONE) + i for i, pair in enumerate(zip(ids, ids[1:]))]
+    tree = [_NONE] * width + leaves + [_NONE] * (width - n + 1)
     for i in range(width - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    gone = [False] * n
-
-    def put(leaf: int, value: int) -> None:
-        at = width + leaf
-        if tree[at] == value:
-            return
-        tree[at] = value
-        while at > 1:
-            at >>= 1
-            a, b = tree[2 * at], tree[2 * at + 1]
-            if b < a:
-                a = b
-            if tree[at] == a:
-                return
-            tree[at] = a
-
-    def rank(i: int, j: int) -> int:
-        found = get((ids[i], ids[j]))
-        return found[0] << 32 | i if found else _NONE
-
-    while (root := tree[1]) != _NONE:
+    while (root := tree[1]) < _NONE:
         i = root & 0xFFFFFFFF
         j = after[i]
-        ids[i] = get((ids[i], ids[j]))[1]
-        gone[j] = True
+        new = ids[i] = made[root >> 32]
         k = after[i] = after[j]
-        if j < n - 1:
-            put(j, _NONE)
+        # the leaves of the pairs that are gone or changed
+        changed = [(width + j, _NONE)] if j < n - 1 else []
         if k < n:
             before[k] = i
-            put(i, rank(i, k))
+            changed.append((width + i, get((new, ids[k]), _NONE) + i))
         else:
-            put(i, _NONE)
+            changed.append((width + i, _NONE))
         if (h := before[i]) >= 0:
-            put(h, rank(h, i))
-    return [x for x, out in zip(ids, gone, strict=True) if not out]
+            changed.append((width + h, get((ids[h], new), _NONE) + h))
+        for at, value in changed:
+            tree[at] = value
+            while at > 1:
+                at >>= 1
+                a, b = tree[2 * at], tree[2 * at + 1]
+                if b < a:
+                    a = b
+                if tree[at] == a:
+                    break
+                tree[at] = a
+    out, i = [], 0
+    while i < n:
+        out.append(ids[i])
+        i = after[i]
+    return out
 
 
 def _byte_letters() -> list[str]:
@@ -150,7 +141,10 @@ class Codec:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
         vocab = self.vocab
-        self.ranks = {(vocab[a], vocab[b]): (i, vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.ranks, self.made = {}, []
+        for i, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a], vocab[b]] = i << 32
+            self.made.append(vocab[a + b])
         self.letters = _byte_letters()
         self.simple = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.pieces, self.chunks = _Memory(self._piece), _Memory(self._chunk)
@@ -162,7 +156,7 @@ class Codec:
         symbols = list(piece)
         symbols[-1] += self.suffix
         ids = [self.vocab[x] for x in symbols]
-        return np.array(merge(ids, self.ranks), np.int32).tobytes()
+        return np.array(merge(ids, self.ranks, self.made), np.int32).tobytes()
 
     def _plain(self, chunk: str) -> bytes:
         if chunk.isascii():

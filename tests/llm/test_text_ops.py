@@ -375,9 +375,10 @@ def plain_merge(ids, ranks):
 def test_segment_tree_against_plain():
     rng = random.Random(5)
     ranks = {(a, b): (r, 10 + r) for r, (a, b) in enumerate({(rng.randrange(20), rng.randrange(20)) for _ in range(60)})}
+    made = [10 + r for r in range(len(ranks))]
     for _ in range(300):
         ids = [rng.randrange(12) for _ in range(rng.randrange(0, 40))]
-        assert segment_bpe.merge(ids, ranks) == plain_merge(ids, ranks)
+        assert segment_bpe.merge(ids, {k: r << 32 for k, (r, _) in ranks.items()}, made) == plain_merge(ids, ranks)
 
 
 def test_codec_equals_library(files):
