@@ -57,7 +57,7 @@ def op8_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = segment_bpe.decode(segment_bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    out = segment_bpe.encode(read(spark, sf_dir, "documents"), path, and_decode=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -210,20 +210,24 @@ def _codec(text: str) -> Codec:
     return _codecs[text]
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, and_decode: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs (doc_id, text; other columns are not read), special tokens neither added nor treated as text.
 
     A null or empty text has no ids. Repeated rows give repeated results, an empty table none.
     The file at tokenizer_path is read by the driver (a vocabulary of one or two MB) and sent
-    along; one that Codec doesn't follow raises ValueError here.
+    along; one that Codec doesn't follow raises ValueError here. and_decode: adds what decode
+    would, by the same workers in the same pass, so that a task keeps one of them.
     """
-    if found := unfit(json.loads(Path(tokenizer_path).read_text(encoding="utf-8"))):
+    text = Path(tokenizer_path).read_text(encoding="utf-8")
+    held = json.loads(text)
+    if found := unfit(held):
         raise ValueError(f"segment_bpe doesn't follow {', '.join(found)} of {tokenizer_path}")
-    sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))
+    sent = docs.sparkSession.sparkContext.broadcast((text, token_names(held) if and_decode else []))
 
     @T.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value)
+        text, names = sent.value
+        codec, names = _codec(text), pa.array(names, pa.string())
         for batch in batches:
             rows, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, len(texts), 500):
@@ -231,10 +235,11 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([rows.slice(at, 500), column], ["doc_id", "ids"])
+                made = {"doc_id": rows.slice(at, 500), "ids": column} | ({"decoded": decoded(column, names)} if and_decode else {})
+                yield pa.RecordBatch.from_arrays(list(made.values()), list(made))
         codec.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * and_decode)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -402,7 +402,9 @@ def test_bpe_frames(odd, none, files):
     want = collections.Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
     assert collections.Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
     assert all(r.decoded == library.decode(r.ids, skip_special_tokens=False) for r in rows)
-    assert segment_bpe.encode(none, path).count() == 0
+    at_once = segment_bpe.encode(odd, path, and_decode=True).collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in at_once) == collections.Counter((r.doc_id, tuple(r.ids), r.decoded) for r in rows)
+    assert segment_bpe.encode(none, path).count() == 0 and segment_bpe.encode(none, path, and_decode=True).count() == 0
 
 
 # ---- sharding
