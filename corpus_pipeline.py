@@ -57,7 +57,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table gives an empty one.
     """
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = segment_bpe.decode(segment_bpe.encode(docs, path), path)
+    out = segment_bpe.encode(docs, path, and_decode=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
