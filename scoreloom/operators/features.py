@@ -57,24 +57,6 @@ def feature_bins(df: DataFrame, splits: Mapping[str, Sequence[float]], y: str) -
     return described(out, dict(splits)).orderBy("feature", *order).select("feature", "bin_idx", *FEATURE_BINS)
 
 
-def _stability(reference: DataFrame, data: DataFrame, rules: Mapping[str, Sequence[float]], features: Sequence[str], by: Sequence[str] = (), buckets: int = 10) -> DataFrame:
-    """(feature, by..., psi) of each group of data against reference: over a feature's rule, (a, b], or else over the reference's quantiles, [a, b). Missing values are a bucket."""
-    rest = [f for f in features if f not in rules]
-    found = quantiles(reference, rest, [i / buckets for i in range(buckets + 1)])
-    edges = {f: sorted(set(map(float, rules[f]))) if f in rules else P.inner_edges(found[f]) for f in features}
-
-    def counted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(f).alias("feature"), P.bin_code(numeric(df, f), edges[f], closed="right" if f in rules else "left").alias("bucket")) for f in features])
-        return df.select(*[col(k) for k in keys], F.explode(pairs).alias("p")).select(*keys, "p.*").groupBy("feature", *keys, "bucket").agg(F.count("*").alias("n"))
-
-    expected = counted(reference, []).withColumnRenamed("n", "e")
-    actual = counted(data, by).withColumnRenamed("n", "a")
-    grid = data.sparkSession.range(-1, max([buckets, *[len(e) + 1 for e in edges.values()]])).select(F.col("id").cast("int").alias("bucket"))
-    cells = actual.select("feature", *by).distinct().crossJoin(F.broadcast(grid))  # a dozen buckets
-    cells = P._with(P._with(cells, expected, ["feature", "bucket"]), actual, ["feature", *by, "bucket"])
-    return P._psi(cells.select("feature", *by, "bucket", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("a", F.lit(0)).alias("a")), ["feature", *by], grid)
-
-
 def _missing(df: DataFrame, features: Sequence[str], name: str) -> DataFrame:
     """(feature, name): the share of missing values; null without rows."""
     row = df.agg(*[F.avg(numeric(df, f).isNull().cast("double")).alias(f"m{i}") for i, f in enumerate(features)])
@@ -101,7 +83,7 @@ def variable_table(train: DataFrame, oot: DataFrame, features: Sequence[str], y:
         out = P._with(P._with(P._with(out, bins, ["feature"]), iv, ["feature"]), _missing(part, features, f"缺失率_{name}"), ["feature"])
         ruled = F.col("feature").isin(list(rules)) if rules else F.lit(False)
         out = out.withColumn(f"iv_{name}", F.when(ruled, F.col("__iv")).otherwise(F.when(F.col(f"缺失率_{name}").isNotNull(), F.col("__batch")))).drop("__iv", "__batch")
-    out = P._with(out, _stability(train, oot, rules, features), ["feature"])
+    out = P._with(out, P.psi_feature_groups(train, oot, features, (), rules), ["feature"])
     if dictionary is not None:
         names = ["中文名", "来源", "指标表英文名"]
         # one row a feature
@@ -135,7 +117,7 @@ def monthly_metrics(df: DataFrame, train: DataFrame, features: Sequence[str], y:
     long = P._with(coded(own, edges, keep=["__m", "__y"], y=y), rates, ["feature", "bin_idx"])
     long = long.withColumn("__s", F.coalesce("__rate", F.when(F.col("bin_idx") < 0, 1.0).otherwise(0.0)))
     scored = M.binary_metrics(long, "__y", "__s", ["feature", "__m"])
-    stable = _stability(train.where(label(train, y).isNotNull()), own.where(label(own, y).isNotNull()), rules, features, ["__m"])
+    stable = P.psi_feature_groups(train.where(label(train, y).isNotNull()), own.where(label(own, y).isNotNull()), features, ["__m"], rules)
     out = P._with(scored, stable.withColumnRenamed("psi", "PSI"), ["feature", "__m"]).withColumnRenamed("__m", "month")
     return report_order(out.select("feature", "month", *M.core_columns(), "PSI"), ["feature"], month="month")
 

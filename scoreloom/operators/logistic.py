@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import label, numeric
 
 CONST = "const"
+#: Numbers of a prepared table that the driver may hold: below, steps are sums there instead of passes of Spark.
+HELD = 4_000_000
 
 
 @dataclass
@@ -51,54 +54,69 @@ class Fit:
         return np.array([math.erfc(abs(v) / math.sqrt(2)) if v == v else float("nan") for v in z])
 
 
-def _pass(own: DataFrame, width: int, models: Sequence[tuple[np.ndarray, np.ndarray]], squared: bool = False) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each model (places of its columns, coefficients): log likelihood, gradient, information, and with squared the sum of squared scores."""
+def _sums(data: np.ndarray, at: np.ndarray, beta: np.ndarray, squared: bool) -> np.ndarray:
+    """Of rows (label, weight, columns...): log likelihood, gradient, information and with squared the sum of squared scores, flat."""
+    y, w = data[:, 0], data[:, 1]
+    part = np.concatenate([np.ones((len(data), 1)), data[:, at[1:] + 1]], 1)
+    p = 1 / (1 + np.exp(-np.clip(part @ beta, -500, 500)))
+    q = np.clip(p, 1e-15, 1 - 1e-15)
+    held = [[(w * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum()], part.T @ (w * (y - p)), (part.T @ (part * (w * p * (1 - p))[:, None])).ravel()]
+    if squared:
+        held.append((part.T @ (part * (w * (y - p) ** 2)[:, None])).ravel())
+    return np.concatenate(held)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros(1 + len(b) + (2 if squared else 1) * len(b) ** 2) for _, b in models]
-        for batch in batches:
-            data = batch.to_numpy(float)
-            y, w, x = data[:, 0], data[:, 1], np.concatenate([np.ones((len(data), 1)), data[:, 2:]], 1)
-            for held, (at, beta) in zip(sums, models, strict=True):
-                part = x[:, at]
-                p = 1 / (1 + np.exp(-np.clip(part @ beta, -500, 500)))
-                q = np.clip(p, 1e-15, 1 - 1e-15)
-                k = len(beta)
-                held[0] += (w * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum()
-                held[1 : 1 + k] += part.T @ (w * (y - p))
-                held[1 + k : 1 + k + k * k] += (part.T @ (part * (w * p * (1 - p))[:, None])).ravel()
-                if squared:
-                    held[1 + k + k * k :] += (part.T @ (part * (w * (y - p) ** 2)[:, None])).ravel()
-        for i, held in enumerate(sums):
-            yield pd.DataFrame({"model": i, "place": np.arange(len(held)), "value": held})
-
-    rows = own.mapInPandas(run, "model int, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).collect()
+def _pass(own: DataFrame | np.ndarray, models: Sequence[tuple[np.ndarray, np.ndarray]], squared: bool = False) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each model (places of its columns, coefficients): log likelihood, gradient, information, and with squared the sum of squared scores."""
+    if isinstance(own, np.ndarray):
+        with ThreadPoolExecutor(8) as pool:
+            flat = list(pool.map(lambda m: _sums(own, *m, squared), models))
+    else:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = [0.0] * len(models)
+            for batch in batches:
+                data = batch.to_numpy(float)
+                sums = [held + _sums(data, *m, squared) for held, m in zip(sums, models, strict=True)]
+            for i, held in enumerate(sums):
+                if isinstance(held, np.ndarray):
+                    yield pd.DataFrame({"model": i, "place": np.arange(len(held)), "value": held})
+
+        flat = [np.zeros(1 + len(b) + (2 if squared else 1) * len(b) ** 2) for _, b in models]
+        for r in own.mapInPandas(run, "model int, place int, value double").groupBy("model", "place").agg(F.sum("value").alias("value")).collect():
+            flat[r["model"]][r["place"]] = r["value"]
     out = []
-    flat = [np.zeros(1 + len(b) + (2 if squared else 1) * len(b) ** 2) for _, b in models]
-    for r in rows:
-        flat[r["model"]][r["place"]] = r["value"]
     for held, (_, beta) in zip(flat, models, strict=True):
         k = len(beta)
         out.append((float(held[0]), held[1 : 1 + k], held[1 + k : 1 + k + k * k].reshape(k, k), held[1 + k + k * k :].reshape(k, k) if squared else np.zeros((0, 0))))
     return out
 
 
+def at_hand(own: DataFrame) -> DataFrame | np.ndarray:
+    """A prepared table, on the driver if it has at most HELD numbers."""
+    return own.toPandas().to_numpy(float) if own.count() * len(own.columns) <= HELD else own
+
+
 def prepared(df: DataFrame, columns: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
     """(label, weight, columns...) as doubles of the rows where all are present."""
     lab = label(df, y)
     return df.select(lab.cast("double").alias("__y"), (numeric(df, weight) if weight else F.lit(1.0)).alias("__w"), *[numeric(df, c).alias(f"__{i}") for i, c in enumerate(columns)]).dropna()
 
 
-def fit_many(df: DataFrame, sets: Sequence[Sequence[str]], y: str, weight: str | None = None, max_iter: int = 100, tol: float = 1e-10, robust: bool = False, own: DataFrame | None = None, columns: Sequence[str] | None = None) -> list[Fit | None]:
-    """A model with a constant for each set of columns, all by the same passes; None where columns are linearly dependent. Rows lacking any of the columns are left out of all."""
+def fit_many(df: DataFrame, sets: Sequence[Sequence[str]], y: str, weight: str | None = None, max_iter: int = 100, tol: float = 1e-10, robust: bool = False, own: DataFrame | np.ndarray | None = None, columns: Sequence[str] | None = None, start: dict[str, float] | None = None) -> list[Fit | None]:
+    """A model with a constant for each set of columns, all by the same passes; None where columns are linearly dependent. Rows lacking any of the columns are left out of all. start: coefficients to begin with, 0 for others."""
     columns = list(columns) if columns is not None else list(dict.fromkeys(c for s in sets for c in s))
     own = own if own is not None else prepared(df, columns, y, weight)
     place = {c: i + 1 for i, c in enumerate(columns)}
     at = [np.array([0, *[place[c] for c in s]]) for s in sets]
-    beta = [np.zeros(len(a)) for a in at]
+    start = start or {}
+    beta = [np.array([start.get(c, 0.0) for c in (CONST, *s)]) for s in sets]
     last, done, out = [None] * len(sets), [False] * len(sets), [None] * len(sets)
-    totals = own.agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col("__y")).alias("b")).first()
-    n, b = totals["n"] or 0.0, totals["b"] or 0.0
+    if isinstance(own, np.ndarray):
+        n, b = float(own[:, 1].sum()), float((own[:, 0] * own[:, 1]).sum())
+    else:
+        totals = own.agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col("__y")).alias("b")).first()
+        n, b = totals["n"] or 0.0, totals["b"] or 0.0
     if not n or b in (0.0, n):
         return out
     rate = b / n
@@ -107,7 +125,7 @@ def fit_many(df: DataFrame, sets: Sequence[Sequence[str]], y: str, weight: str |
         live = [i for i in range(len(sets)) if not done[i]]
         if not live:
             break
-        for i, (ll, gradient, info, _) in zip(live, _pass(own, len(columns), [(at[i], beta[i]) for i in live]), strict=True):
+        for i, (ll, gradient, info, _) in zip(live, _pass(own, [(at[i], beta[i]) for i in live]), strict=True):
             scale = np.abs(np.diag(info)).max() if info.size else 0
             spread = np.sqrt(np.maximum(np.diag(info), 1e-300))
             if scale == 0 or np.linalg.cond(info / np.outer(spread, spread)) > 1e12:
@@ -123,7 +141,7 @@ def fit_many(df: DataFrame, sets: Sequence[Sequence[str]], y: str, weight: str |
                 beta[i] = beta[i] + inverse @ gradient
     if robust:
         fitted = [i for i in range(len(sets)) if out[i] is not None]
-        for i, (_, _, _, meat) in zip(fitted, _pass(own, len(columns), [(at[i], out[i].coefficients) for i in fitted], squared=True), strict=True):
+        for i, (_, _, _, meat) in zip(fitted, _pass(own, [(at[i], out[i].coefficients) for i in fitted], squared=True), strict=True):
             out[i].robust = out[i].covariance @ meat @ out[i].covariance
     return out
 
@@ -172,7 +190,7 @@ class LogisticModel:
             return None
         beta[0] = base.coefficients[0]
         for _ in range(self.max_iter):
-            ((ll, gradient, info, _),) = _pass(own, len(columns), [(at, beta)])
+            ((ll, gradient, info, _),) = _pass(own, [(at, beta)])
             value = -ll + self.alpha * np.abs(beta[1:]).sum()
             if last is not None and abs(value - last) < 1e-9 * max(1.0, abs(value)):
                 break
@@ -185,7 +203,7 @@ class LogisticModel:
                 if np.abs(new - old).max() < 1e-10:
                     break
             beta = new
-        ((ll, _, info, _),) = _pass(own, len(columns), [(at, beta)])
+        ((ll, _, info, _),) = _pass(own, [(at, beta)])
         return Fit(tuple(columns), beta, np.linalg.pinv(info), info, ll, base.null_log_likelihood, base.rows, True)
 
     def _fitted(self) -> None:

@@ -6,7 +6,7 @@ bucket and meet the reference's ten or so counts in a join of counts.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,10 +63,9 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, buckets: int = 10,
 
 def _pairs(long: DataFrame, features: Sequence[str], buckets: int, strategy: str, found: dict[str, list[float]]) -> DataFrame:
     """(feature, psi) of long (feature, side 0 expected or 1 actual, x)."""
-    code = F.lit(0)
-    for f in features:
-        code = F.when(F.col("feature") == f, bin_code(F.col("x"), inner_edges(found.get(f, [])), closed="left")).otherwise(code)
-    counts = long.withColumn("bucket", code)
+    table = long.sparkSession.createDataFrame([(f, inner_edges(found.get(f, []))) for f in features], "__f string, __edges array<double>")
+    coded = long.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
+    counts = coded.withColumn("bucket", F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("__edges", lambda e: e <= F.col("x")))))
     if strategy == "exclude":
         counts = counts.where("bucket >= 0")
     counts = counts.groupBy("feature", "bucket").agg(F.count_if(F.col("side") == 0).alias("e"), F.count_if(F.col("side") == 1).alias("a"))
@@ -117,6 +116,28 @@ def _psi_groups(reference: DataFrame, data: DataFrame, column: str, groups: Sequ
     return _psi(counts, groups, grid)
 
 
+def psi_feature_groups(reference: DataFrame, data: DataFrame, features: Sequence[str], groups: Sequence[str] = (), rules: Mapping[str, Sequence[float]] | None = None, buckets: int = 10) -> DataFrame:
+    """(feature, groups..., psi) of each feature in each group of data against one reference: over a feature's rule, (a, b], or else over the reference's quantiles, [a, b). One pass for all edges, one for all counts; missing values are a bucket."""
+    _checked(buckets, "separate")
+    features, rules = list(features), rules or {}
+    shown, (data, names) = list(groups), _named(data, groups)
+    by = [names[g] for g in shown]
+    found = quantiles(reference, [f for f in features if f not in rules], [i / buckets for i in range(buckets + 1)])
+    edges = {f: sorted(set(map(float, rules[f]))) if f in rules else inner_edges(found[f]) for f in features}
+
+    def counted(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), bin_code(numeric(df, f), edges[f], closed="right" if f in rules else "left").alias("bucket")) for i, f in enumerate(features)])
+        return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.*").groupBy("i", *keys, "bucket").agg(F.count("*").alias("n"))
+
+    expected = counted(reference, []).withColumnRenamed("n", "e")
+    actual = counted(data, by).withColumnRenamed("n", "a")
+    grid = data.sparkSession.range(-1, max([buckets, *[len(e) + 1 for e in edges.values()]])).select(F.col("id").cast("int").alias("bucket"))
+    cells = actual.select("i", *by).distinct().crossJoin(F.broadcast(grid))  # a dozen buckets
+    cells = _with(_with(cells, expected, ["i", "bucket"]), actual, ["i", *by, "bucket"])
+    out = _psi(cells.select("i", *by, "bucket", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("a", F.lit(0)).alias("a")), ["i", *by], grid)
+    return out.select(F.get(F.array(*[F.lit(f) for f in features]), F.col("i")).alias("feature"), *[F.col(names[g]).alias(g) for g in shown], "psi")
+
+
 def psi_with_edges(reference: DataFrame, actual: DataFrame, column: str, edges: Sequence[float], closed: str = "left") -> float | None:
     """PSI over given inner edges; "left": [a, b), "right": (a, b]. Missing values are a bucket."""
     cuts = sorted({float(e) for e in edges if e == e and abs(e) != float("inf")})

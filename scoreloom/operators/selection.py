@@ -12,7 +12,7 @@ from ..functions.columns import category, col, is_numeric, label, numeric
 from ..functions.quantiles import long_form, quantile_rows
 from . import metrics as M
 from .correlation import high_pairs, pearson, vif
-from .logistic import Fit, fit_many, prepared
+from .logistic import CONST, Fit, at_hand, fit_many, prepared
 from .psi import psi_features
 from .woe import batch_iv
 
@@ -204,14 +204,16 @@ class StepwiseSelector:
         self.history_ = []
         own = prepared(df, columns, y).cache()
         try:
-            self._search(df, own, columns, y)
+            self._search(df, at_hand(own), columns, y)
         finally:
             own.unpersist()
         return self
 
-    def _search(self, df: DataFrame, own: DataFrame, columns: list[str], y: str) -> None:
+    def _search(self, df: DataFrame, own, columns: list[str], y: str) -> None:
         def fits(sets: list[list[str]]) -> list[Fit | None]:
-            return fit_many(df, sets, y, own=own, columns=columns)
+            # from the coefficients of the model so far, few steps are left
+            start = dict(zip((CONST, *now.columns), now.coefficients, strict=True)) if now is not None else None
+            return fit_many(df, sets, y, own=own, columns=columns, start=start)
 
         def value(f: Fit | None) -> float:
             if f is None or not f.columns:
@@ -221,6 +223,7 @@ class StepwiseSelector:
         def p_of(f: Fit, c: str) -> float:
             return float(f.p_values[1 + f.columns.index(c)])
 
+        now: Fit | None = None
         held = [c for c in columns if c in self.exclude] if self.direction != "backward" else list(columns)
         now = fits([held])[0] if held else None
 

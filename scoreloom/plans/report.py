@@ -65,6 +65,7 @@ class Report:
         self.labels, self.score, self.tag, self.features = list(labels), score, tag, list(features)
         self.dimensions, self.old_scores, self.variables, self.principal, self.loan = list(dimensions), list(old_scores), list(variables), principal, loan
         self.date, self.scorecard, self.dictionary, self.method = date, scorecard, dictionary, method
+        self._made: dict[str, list[Block]] = {}
         view = model if model is not None else scorecard
         self.model = view if view is None or isinstance(view, ModelView) else ModelView(view)
 
@@ -92,10 +93,19 @@ class Report:
             if key in APPENDICES:
                 appendix += 1
                 name = f"附{appendix} {name}"
-            out.append(Sheet(key, name, getattr(self, f"_{key}")()))
+            out.append(Sheet(key, name, self._blocks(key)))
         return out
 
+    def _blocks(self, key: str) -> list[Block]:
+        """A sheet's blocks, made once: the overview shows some of them again."""
+        if key not in self._made:
+            self._made[key] = getattr(self, f"_{key}")()
+        return self._made[key]
+
     def _split(self) -> list[Block]:
+        return self._blocks("split_metrics")
+
+    def _split_metrics(self) -> list[Block]:
         by_tag, by_month = tables.split_metrics(self.data, self.labels, self.score, self.tag, self.month, principal=self.principal, loan=self.loan, date=self.date)
         return [Block("各样本集模型效果", by_tag), Block("分月模型效果", by_month)]
 
@@ -106,7 +116,7 @@ class Report:
         there = self.available()
         for key in ("dimensional_comparison", "model_comparison", "portrait"):
             if key in there:
-                out += [Block(f"{SHEETS[key]} {b.title}", b.data) for b in getattr(self, f"_{key}")()]
+                out += [Block(f"{SHEETS[key]} {b.title}", b.data) for b in self._blocks(key)]
         return out
 
     def _model_design(self) -> list[Block]:
@@ -183,5 +193,8 @@ class Report:
         return [Block(v, pivot.where(F.col("画像变量") == v)) for v in self.variables]
 
     def write(self, path: str, sheets: Sequence[str | int] | None = None) -> None:
-        """A workbook of the sheets; every table is of the size of its groups or bins."""
-        write_workbook(path, {s.name: [(b.title, b.data.columns, [list(r) for r in b.data.collect()], b.chart) for b in s.blocks] for s in self.build(sheets)})
+        """A workbook of the sheets; every table is of the size of its groups or bins, and is computed once."""
+        made = self.build(sheets)
+        tables = {id(b.data): b.data for s in made for b in s.blocks}
+        rows = {k: [list(r) for r in t.collect()] for k, t in tables.items()}
+        write_workbook(path, {s.name: [(b.title, b.data.columns, rows[id(b.data)], b.chart) for b in s.blocks] for s in made})
