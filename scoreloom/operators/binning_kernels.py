@@ -172,55 +172,53 @@ def chimerge_splits(x: np.ndarray, n: np.ndarray, bad: np.ndarray, bins: int, al
     m = len(x)
     if m < 2:
         return []
-    # arrays, and a heap of new pairs only beside the sorted first ones: lists of numbers take several times the memory
-    rows, bads = array("d", np.asarray(n, float).tobytes()), array("d", np.asarray(bad, float).tobytes())
-    after, before = array("q", range(1, m + 1)), array("q", range(-1, m - 1))
-    alive, stamp = bytearray(b"\1") * m, array("q", bytes(8 * m))
-    first_chi = np.fromiter((pair_chi2(rows[i], bads[i], rows[i + 1], bads[i + 1]) for i in range(m - 1)), float, m - 1)
+    rows, bads = np.asarray(n, float).tolist(), np.asarray(bad, float).tolist()
+    after, before = list(range(1, m + 1)), list(range(-1, m - 1))
+    # a pair goes by its left bin; it counts as it did at `turn`, -1 once its left bin is gone
+    turn = [0] * m
+    turn[-1] = -1
+    first_chi = np.fromiter(map(pair_chi2, rows, bads, rows[1:], bads[1:]), float, m - 1)
     order = array("q", np.argsort(first_chi, kind="stable").tobytes())
     first_chi = array("d", first_chi.tobytes())
-    heap: list[tuple[float, int, int, int]] = []
-    at, full, left = 0, 1000, m
-
-    def merge(i: int) -> None:
-        nonlocal left, heap, full
+    # a heap of new pairs only, beside the sorted first ones
+    heap: list[tuple[float, int, int]] = []
+    at, full, left, most, threshold = 0, 1000, m, max(bins, 1), chi2_threshold(alpha)
+    push, pop = heapq.heappush, heapq.heappop
+    while left > 1:
+        while heap and turn[heap[0][1]] != heap[0][2]:
+            pop(heap)
+        while at < m - 1 and turn[order[at]]:
+            at += 1
+        i = order[at] if at < m - 1 else -1
+        chi = first_chi[i] if i >= 0 else math.inf
+        if heap and (i < 0 or heap[0][0] < chi or (heap[0][0] == chi and heap[0][1] < i)):
+            chi, i, _ = heap[0]
+        if left <= most and not chi < threshold:
+            break
         j = after[i]
         rows[i] += rows[j]
         bads[i] += bads[j]
-        alive[j] = 0
-        after[i] = after[j]
-        if after[i] < m:
-            before[after[i]] = i
-        stamp[i] += 1
+        turn[j] = -1
+        k = after[i] = after[j]
         left -= 1
-        for a in (before[i], i):
-            if a >= 0 and after[a] < m:
-                b = after[a]
-                heapq.heappush(heap, (pair_chi2(rows[a], bads[a], rows[b], bads[b]), a, stamp[a], stamp[b]))
+        if k < m:
+            before[k] = i
+            now = turn[i] = turn[i] + 1
+            push(heap, (pair_chi2(rows[i], bads[i], rows[k], bads[k]), i, now))
+        else:
+            turn[i] = -1
+        h = before[i]
+        if h >= 0:
+            now = turn[h] = turn[h] + 1
+            push(heap, (pair_chi2(rows[h], bads[h], rows[i], bads[i]), h, now))
         if len(heap) > full:
-            heap = [e for e in heap if current(e)]
+            heap = [e for e in heap if turn[e[1]] == e[2]]
             heapq.heapify(heap)
             full = len(heap) * 3 // 2 + 1000
-
-    def current(entry) -> bool:
-        _, a, sa, sb = entry
-        return bool(alive[a]) and after[a] < m and stamp[a] == sa and stamp[after[a]] == sb
-
-    threshold = chi2_threshold(alpha)
-    while left > 1:
-        while heap and not current(heap[0]):
-            heapq.heappop(heap)
-        while at < m - 1 and not current((0.0, order[at], 0, 0)):
-            at += 1
-        fresh = heap[0] if heap else None
-        if at < m - 1 and (fresh is None or (first_chi[order[at]], order[at]) < fresh[:2]):
-            chi, i = first_chi[order[at]], order[at]
-        else:
-            chi, i = fresh[:2]
-        if left <= max(bins, 1) and not chi < threshold:
-            break
-        merge(i)  # makes the pair's entry stale
-    starts = [i for i in range(m) if alive[i]]
+    starts, i = [], 0
+    while i < m:
+        starts.append(i)
+        i = after[i]
     if least:
         sizes, hits, first = [rows[i] for i in starts], [bads[i] for i in starts], [x[i] for i in starts]
         while len(sizes) > 1 and min(sizes) < least:
