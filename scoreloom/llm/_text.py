@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,18 +37,46 @@ LOWER[65:91] += 32
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
+#: Of each operator that keeps something from task to task in a worker: how it is forgotten.
+_kept: dict[str, Callable[[], None]] = {}
+_worker = {"owner": ""}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """What a module keeps in a worker process goes when the worker takes up another module's work."""
+    _kept[owner] = forget
+
+
+def takes_up(owner: str) -> None:
+    """A task of the module `owner` begins in this worker."""
+    if _worker["owner"] != owner:
+        _worker["owner"] = owner
+        others = [forget for name, forget in _kept.items() if name != owner]
+        for forget in others:
+            forget()
+        if others:
+            gives_back()
+
+
+def gives_back() -> None:
+    """Freed memory goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidied(run):
     """A task's function over batches that gives freed memory back to the machine when the task ends: workers live on for other stages."""
+    owner = run.__module__
 
     @functools.wraps(run)
     def own(batches):
+        takes_up(owner)
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            gives_back()
 
     return own
 

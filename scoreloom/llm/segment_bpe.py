@@ -200,6 +200,7 @@ def decoded(ids: pa.Array, names: pa.Array) -> pa.Array:
 
 
 _codecs: dict[str, Codec] = {}
+T.keeps(__name__, _codecs.clear)
 
 
 def _codec(text: str) -> Codec:

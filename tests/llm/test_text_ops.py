@@ -538,3 +538,21 @@ def test_shards_of_many_equal_rows(spark):
     rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     out = hash_tree.shard(rows, 8).toPandas()
     assert out.shard.nunique() == 1 and sorted(out.slot) == list(range(20_000))
+
+
+def test_workers_forget_other_work(spark, odd):
+    """A codec stays in a worker between its own tasks, and goes when another operator's task begins there."""
+    import public_tokenizers
+
+    text = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    codec = segment_bpe._codec(text)
+
+    @T.tidied
+    def other(batches):
+        yield len(segment_bpe._codecs)
+
+    T.takes_up(segment_bpe.__name__)
+    assert segment_bpe._codec(text) is codec
+    assert list(other([])) == [0]  # this test's module is another owner
+    T.takes_up(segment_bpe.__name__)
+    assert segment_bpe._codec(text) is not codec
