@@ -22,12 +22,12 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), kee
     return df.select(*by, *keep, F.explode(pairs).alias("__p")).select(*by, *keep, "__p.feature", "__p.x")
 
 
-def quantile_rows(long: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), times: str | None = None) -> DataFrame:
-    """(by..., feature, n, place, p, value): exact quantiles of x in long (by..., feature, x); missing values don't count. times: a column that says how often a row counts."""
+def quantile_rows(long: DataFrame, probabilities: Sequence[float], by: Sequence[str] = (), times: str | None = None, rows: int | None = None) -> DataFrame:
+    """(by..., feature, n, place, p, value): exact quantiles of x in long (by..., feature, x); missing values don't count. times: a column that says how often a row counts. rows: no feature of a group has more, if the caller knows."""
     keys = [*by, "feature"]
     filled = long.where(F.col("x").isNotNull())
     counted = filled.groupBy(*keys, "x").agg((F.sum(times) if times else F.count("*")).cast("long").alias("c")).where("c > 0")
-    run = running_sums(counted, keys, "x", ["c"])
+    run = running_sums(counted, keys, "x", ["c"], rows=rows)
     first, after, n = F.col("before_c"), F.col("before_c") + F.col("c"), F.col("all_c")
 
     def rank(p):
@@ -52,7 +52,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[flo
     out: dict[str, list[float]] = {c: [] for c in columns}
     if not columns:
         return out
-    rows = quantile_rows(long_form(df, columns), probabilities).select("feature", "place", "value").collect()
+    rows = quantile_rows(long_form(df, columns), probabilities, rows=df.count()).select("feature", "place", "value").collect()
     for r in sorted(rows, key=lambda r: (r["feature"], r["place"])):
         out[r["feature"]].append(r["value"])
     return out

@@ -26,9 +26,11 @@ def matched(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs], F.lit(True))
 
 
-def stretches(df: DataFrame, by: Sequence[str], order: str, most: int | None = None) -> DataFrame | None:
-    """df with __at, the stretch of the group's ordering that a row lies in, 0 in groups of at most `most` rows; None where no group is larger."""
+def stretches(df: DataFrame, by: Sequence[str], order: str, most: int | None = None, rows: int | None = None) -> DataFrame | None:
+    """df with __at, the stretch of the group's ordering that a row lies in, 0 in groups of at most `most` rows; None where no group is larger. rows: no group has more, if the caller knows."""
     most = MOST if most is None else most
+    if rows is not None and rows <= most:
+        return None
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
     largest = sizes.agg(F.max("__n")).first()[0]
     if largest is None:
@@ -47,9 +49,9 @@ def stretches(df: DataFrame, by: Sequence[str], order: str, most: int | None = N
     return joined.withColumn("__at", F.coalesce(F.when(F.col("__heads").isNotNull(), inner), F.lit(0)).cast("int")).drop("__lists", "__heads", *[f"__c{i}" for i in range(len(by))])
 
 
-def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], most: int | None = None) -> DataFrame:
-    """df (by..., a numeric column `order` without nulls, and sums), one row for each value of by and order, with "before_<s>", the sum over smaller values of order in the same group, and "all_<s>"."""
-    own, group = stretches(df, by, order, most), Window.partitionBy(*by)
+def running_sums(df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], most: int | None = None, rows: int | None = None) -> DataFrame:
+    """df (by..., a numeric column `order` without nulls, and sums), one row for each value of by and order, with "before_<s>", the sum over smaller values of order in the same group, and "all_<s>". rows: no group has more, if the caller knows, which saves counting them."""
+    own, group = stretches(df, by, order, most, rows), Window.partitionBy(*by)
     if own is None:
         within = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return df.select("*", *[F.coalesce(F.sum(s).over(within), F.lit(0)).alias(f"before_{s}") for s in sums], *[F.sum(s).over(group).alias(f"all_{s}") for s in sums])

@@ -43,14 +43,14 @@ def score_points(df: DataFrame, y: str, score: str, by: Sequence[str] = (), weig
     )
 
 
-def curve_metrics(points: DataFrame, by: Sequence[str] = (), levels: Sequence[float] = LEVELS, descending: bool = True, reverse_auc: bool = False, weighted: bool = False) -> DataFrame:
-    """(by..., KS, AUC, lifts) from score points; null where a group lacks a class.
+def curve_metrics(points: DataFrame, by: Sequence[str] = (), levels: Sequence[float] = LEVELS, descending: bool = True, reverse_auc: bool = False, weighted: bool = False, rows: int | None = None) -> DataFrame:
+    """(by..., KS, AUC, lifts) from score points; null where a group lacks a class. rows: no group has more points, if the caller knows.
 
     Rows of one score share what of them falls into a top k: lift takes their mean bad rate.
     """
     g, b = ("wgood", "wbad") if weighted else ("good", "bad")
     own = points.where("s is not null").select(*by, "s", F.col(g).alias("g"), F.col(b).alias("b"))
-    run = running_sums(own, by, "s", ["g", "b"])
+    run = running_sums(own, by, "s", ["g", "b"], rows=rows)
     run = run.withColumn("n", F.col("g") + F.col("b")).withColumn("whole", F.col("all_g") + F.col("all_b"))
     two = (F.col("all_g") > 0) & (F.col("all_b") > 0)
     up_g, up_b = F.col("before_g") + F.col("g"), F.col("before_b") + F.col("b")
@@ -104,7 +104,7 @@ def binary_metrics(df: DataFrame, y: str, score: str, by: Sequence[str] = (), mo
     shown, (df, by) = list(by), _named(df, by)
     points = score_points(df, y, score, by)
     if mode == "exact":
-        curve = curve_metrics(points, by, levels, descending, reverse_auc)
+        curve = curve_metrics(points, by, levels, descending, reverse_auc, rows=df.count())
     else:
         curve = binned_metrics(points, by, bins, levels, descending, reverse_auc)
     return _renamed(_joined(totals(points, by), curve, by).select(*by, *core_columns(levels)), by, shown)
@@ -165,13 +165,13 @@ def binned_metrics(points: DataFrame, by: Sequence[str], bins: int, levels: Sequ
 def auc(df: DataFrame, y: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by..., auc), weighted if asked."""
     shown, (df, by) = list(by), _named(df, by)
-    return _renamed(curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None).select(*by, F.col("AUC").alias("auc")), by, shown)
+    return _renamed(curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None, rows=df.count()).select(*by, F.col("AUC").alias("auc")), by, shown)
 
 
 def ks(df: DataFrame, y: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """(by..., ks) in 0 to 1."""
     shown, (df, by) = list(by), _named(df, by)
-    return _renamed(curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None).select(*by, F.col("KS").alias("ks")), by, shown)
+    return _renamed(curve_metrics(score_points(df, y, score, by, weight), by, (), weighted=weight is not None, rows=df.count()).select(*by, F.col("KS").alias("ks")), by, shown)
 
 
 def gini(df: DataFrame, y: str, score: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -200,7 +200,7 @@ def lift_at_k(df: DataFrame, y: str, score: str, k: float = 0.1, id_cols: Sequen
     lab, x = label(df, y), numeric(df, score)
     if not id_cols:
         points = score_points(df, y, score)
-        row = curve_metrics(points, (), (k,)).first()
+        row = curve_metrics(points, (), (k,), rows=df.count()).first()
         if row[lift_name(k)] is not None:
             return row[lift_name(k)]
         seen = points.where("s is not null").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).first()
@@ -227,7 +227,7 @@ def amount_metrics(df: DataFrame, y: str, score: str, principal: str, loan: str,
     sums = [F.sum("__l").alias("放款金额"), F.sum("__p").alias("逾期本金")]
     whole = (own.groupBy(*by).agg(*sums) if by else own.agg(*sums)).withColumn("金额坏占比", ratio(F.col("逾期本金"), F.col("放款金额")))
     points = own.where("s is not null").groupBy(*by, "s").agg(F.count("*").cast("double").alias("n"), F.sum("__p").alias("p"), F.sum("__l").alias("l"), F.coalesce(F.sum(F.when(F.col("__y") == 1, F.col("__l"))), F.lit(0.0)).alias("b"), F.coalesce(F.sum(F.when(F.col("__y") == 0, F.col("__l"))), F.lit(0.0)).alias("g"))
-    run = running_sums(points, by, "s", ["n", "p", "l", "b", "g"])
+    run = running_sums(points, by, "s", ["n", "p", "l", "b", "g"], rows=df.count())
     two = (F.col("all_g") > 0) & (F.col("all_b") > 0)
     auc_value = F.sum(F.col("b") * (F.col("before_g") + F.col("g") / 2)) / F.nullif(F.max(F.col("all_b") * F.col("all_g")), F.lit(0.0))
     ks_value = F.max(F.abs(ratio(F.col("before_b") + F.col("b"), F.col("all_b")) - ratio(F.col("before_g") + F.col("g"), F.col("all_g"))))

@@ -182,7 +182,7 @@ def _grouped(data: DataFrame, groups: list[str], score: str, reference_mode: str
         own = own.withColumn("__ref", F.coalesce(F.col(reference_col).cast("string") == str(reference_value), F.lit(False)))
     whole = own.withColumn("__one", F.lit(1))
     keys = partitions or ["__one"]
-    rows = quantile_rows(whole.where("__ref").select(*keys, F.lit("x").alias("feature"), "x"), [i / buckets for i in range(buckets + 1)], keys)
+    rows = quantile_rows(whole.where("__ref").select(*keys, F.lit("x").alias("feature"), "x"), [i / buckets for i in range(buckets + 1)], keys, rows=data.count())
     edges = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("e"))
     edges = edges.select(*keys, F.slice("e", F.lit(2), F.greatest(F.size("e") - 2, F.lit(0))).alias("edges"))
     coded = _with(whole, edges, keys).withColumn("bucket", F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e <= F.col("x")))))

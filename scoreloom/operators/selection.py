@@ -52,7 +52,7 @@ def eda_summary(df: DataFrame, columns: Sequence[str], metrics: Sequence[str] =
             F.count_if(present & (x >= 0)).alias("nonneg"),
         )
         by_value = values.where(present).groupBy("feature").agg(F.count("*").alias("unique_count"), F.max("n").alias("most"))
-        places = quantile_rows(long, [0.25, 0.5, 0.75]).groupBy("feature").pivot("place", [0, 1, 2]).agg(F.first("value"))
+        places = quantile_rows(long, [0.25, 0.5, 0.75], rows=df.count()).groupBy("feature").pivot("place", [0, 1, 2]).agg(F.first("value"))
         places = places.select("feature", F.col("0").alias("q1"), F.col("1").alias("median"), F.col("2").alias("q3"))
         parts.append(plain.join(by_value, "feature", "left").join(places, "feature", "left"))
     if texts:

@@ -55,10 +55,8 @@ def batch_iv(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
     if numbers:
         long = long_form(df.withColumn("__y", label(df, y)).where("__y is not null"), numbers, keep=["__y"])
         values = long.groupBy("feature", "x").agg(F.count("*").alias("total"), F.sum("__y").cast("long").alias("bad"))
-        sizes = {r["feature"]: (r["d"], r["n"]) for r in values.where("x is not null").groupBy("feature").agg(F.count("*").alias("d"), F.sum("total").alias("n")).collect()}
-        distinct = {f: d for f, (d, _) in sizes.items()}
-        edges = _positions(values, {f: (min(bins, d), n) for f, (d, n) in sizes.items()})
-        table = df.sparkSession.createDataFrame([(f, edges.get(f, []) if distinct.get(f, 0) > 1 else None) for f in numbers], "__f string, __edges array<double>")
+        edges = _positions(values, bins, df.count())
+        table = df.sparkSession.createDataFrame([(f, edges.get(f)) for f in numbers], "__f string, __edges array<double>")
         coded = values.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
         code = F.when(F.col("__edges").isNull(), F.lit(0)).when(F.col("x").isNull(), F.lit(-1)).otherwise(F.size(F.filter("__edges", lambda e: e <= F.col("x"))))
         binned = coded.withColumn("bin", code.cast("string")).groupBy("feature", "bin").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
@@ -71,23 +69,21 @@ def batch_iv(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
     return both.groupBy("feature").agg(F.sum("iv_contribution").alias("iv")).orderBy(place[F.col("feature")])
 
 
-def _positions(values: DataFrame, cells: dict[str, tuple[int, int]]) -> dict[str, list[float]]:
-    """For each feature, of k cells and n values, the values at positions round((n - 1) * i / k) of its sorted values, inner ones, distinct.
+def _positions(values: DataFrame, bins: int, rows: int) -> dict[str, list[float]]:
+    """For each feature of n values, d of them distinct, the values at positions round((n - 1) * i / k) of its sorted values, k = min(bins, d), inner ones, distinct; features of fewer than two values are left out.
 
-    values: (feature, x, total). Positions fall into the runs of equal values, found by running sums.
+    values: (feature, x, total), no feature more than `rows`. Positions fall into the runs of equal values, found by running sums.
     """
-    wanted = {f: sorted({round((n - 1) * i / k) for i in range(k + 1)}) for f, (k, n) in cells.items() if k > 1}
-    out: dict[str, list[float]] = {f: [] for f in cells}
-    if not wanted:
-        return out
-    table = values.sparkSession.createDataFrame([(f, [int(p) for p in at]) for f, at in wanted.items()], "__f string, __places array<long>")
-    run = running_sums(values.where(F.col("x").isNotNull() & F.col("feature").isin(list(wanted))), ["feature"], "x", ["total"])
+    own = values.where(F.col("x").isNotNull()).withColumn("one", F.lit(1))
+    run = running_sums(own, ["feature"], "x", ["total", "one"], rows=rows)
+    k = F.least(F.lit(bins), F.col("all_one"))
+    at = F.transform(F.sequence(F.lit(0), k), lambda i: F.bround((F.col("all_total") - 1) * i / k))
     first, after = F.col("before_total"), F.col("before_total") + F.col("total")
-    held = run.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
-    rows = held.where(F.exists("__places", lambda p: (p >= first) & (p < after))).select("feature", "x").collect()  # at most k + 1 a feature
-    for f in wanted:
-        out[f] = sorted({r["x"] for r in rows if r["feature"] == f})[1:-1]
-    return out
+    near = run.where((F.col("all_one") > 1) & F.exists(at, lambda p: (p >= first) & (p < after))).select("feature", "x").collect()  # at most bins + 1 a feature
+    found: dict[str, list[float]] = {}
+    for r in near:
+        found.setdefault(r["feature"], []).append(r["x"])
+    return {f: sorted(set(v))[1:-1] for f, v in found.items()}
 
 
 def single_iv(df: DataFrame, feature: str, y: str, bins: int = 10) -> DataFrame:
@@ -101,7 +97,7 @@ def single_iv(df: DataFrame, feature: str, y: str, bins: int = 10) -> DataFrame:
         x = numeric(df, feature)
         distinct = own.select(x.alias("x")).agg(F.count_distinct("x")).first()[0]
         if distinct > bins:
-            rows = quantile_rows(long_form(own, [feature]), [i / bins for i in range(bins + 1)]).select("value").collect()
+            rows = quantile_rows(long_form(own, [feature]), [i / bins for i in range(bins + 1)], rows=own.count()).select("value").collect()
             splits = sorted({r["value"] for r in rows})[1:-1]
             code = B.bin_code(x, splits)
             return with_woe(counts(own.withColumn("bin", B.label_of(code, splits)), ["bin"], F.col("__y")).withColumn("feature", F.lit(feature)))
