@@ -47,12 +47,21 @@ def quantile_rows(long: DataFrame, probabilities: Sequence[float], by: Sequence[
     return ranked.select(*keys, "n", "place", "p", value.alias("value"))
 
 
+#: Values (rows x columns) up to which one exact aggregate holds their counts.
+HELD = 3_000_000
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float]]:
     """Quantiles of whole columns on the driver: columns x probabilities numbers; an all-missing column has none."""
     out: dict[str, list[float]] = {c: [] for c in columns}
     if not columns:
         return out
-    rows = quantile_rows(long_form(df, columns), probabilities, rows=df.count()).select("feature", "place", "value").collect()
-    for r in sorted(rows, key=lambda r: (r["feature"], r["place"])):
+    rows = df.count()
+    if rows * len(columns) <= HELD:
+        wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+        found = df.agg(*[F.percentile(numeric(df, c), wanted).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return {c: list(found[i] or []) for i, c in enumerate(columns)}
+    near = quantile_rows(long_form(df, columns), probabilities, rows=rows).select("feature", "place", "value").collect()
+    for r in sorted(near, key=lambda r: (r["feature"], r["place"])):
         out[r["feature"]].append(r["value"])
     return out

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.functions import quantiles as Q
 from scoreloom.functions import running
 from scoreloom.functions.quantiles import long_form, quantile_rows
 from scoreloom.operators import correlation, metrics, woe
@@ -39,6 +40,9 @@ def test_quantiles_in_stretches(spark, frame, most, monkeypatch):
         assert np.allclose(rows[rows.feature == c].sort_values("place").value, frame[c].quantile(places))
     rows = quantile_rows(df.select(F.lit("x").alias("feature"), "x", "w"), places, times="w").toPandas().sort_values("place")
     assert np.allclose(rows.value, np.quantile(np.repeat(frame.x, frame.w), places))
+    held = Q.quantiles(df, ["x", "z"], places)
+    monkeypatch.setattr(Q, "HELD", 0)
+    assert all(np.allclose(held[c], v) for c, v in Q.quantiles(df, ["x", "z"], places).items())
     out = metrics.binary_metrics(df, "y", "x", ["g"]).toPandas()
     assert len(out) == 3 and out["AUC"].between(0.4, 0.6).all()
 
