@@ -22,7 +22,7 @@ from . import _text as T
 
 _NONE = 1 << 62
 #: Remembered strings a generation and worker; two generations are kept.
-MEMORY = 150_000
+MEMORY = 300_000
 
 
 def merge(ids: list[int], ranks: dict[tuple[int, int], int], made: list[int]) -> list[int]:
