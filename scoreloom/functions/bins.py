@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import MISSING
@@ -33,6 +33,23 @@ def bin_code(x: Column, splits: Sequence[float], closed: str = "right", missing:
     return F.when(x.isNull(), F.lit(missing)).otherwise(tree(0, len(splits)))
 
 
+#: Features whose edges are comparisons of a plan; those of more are a table that is joined.
+IN_PLAN = 16
+
+
+def coded_by_feature(long: DataFrame, edges: Mapping[str, Sequence[float] | None], column: str) -> DataFrame:
+    """long (feature, x) of the features in edges, with the number of x's bin [a, b) in `column`, missing -1; 0 for all of a feature without edges (None)."""
+    if len(edges) <= IN_PLAN:
+        code = F.lit(None).cast("int")
+        for f, own in edges.items():
+            code = F.when(F.col("feature") == f, F.lit(0) if own is None else bin_code(F.col("x"), list(own), closed="left")).otherwise(code)
+        return long.withColumn(column, code).where(F.col("feature").isin(list(edges)))
+    table = long.sparkSession.createDataFrame([(f, None if own is None else [float(e) for e in own]) for f, own in edges.items()], "__f string, __edges array<double>")
+    joined = long.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
+    code = F.when(F.col("__edges").isNull(), 0).when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("__edges", lambda e: e <= F.col("x"))))
+    return joined.withColumn(column, code).drop("__f", "__edges")
+
+
 def _text(value: float, digits: int) -> str:
     if math.isinf(value):
         return "inf" if value > 0 else "-inf"

@@ -8,6 +8,7 @@ rank are found by a filter.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ def quantile_rows(long: DataFrame, probabilities: Sequence[float], by: Sequence[
     def rank(p):
         return F.floor((n - 1) * p)
 
+    # generated code leaves a value or two a probability; only these see lists
+    run = run.where(reduce(lambda a, b: a | b, [(rank(float(p)) < after) & (rank(float(p)) + 1 >= first) for p in probabilities]))
     wanted = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
     held = F.filter(wanted, lambda w: (rank(w["p"]) < after) & (rank(w["p"]) + 1 >= first))
     # a value or two for each group, feature and probability

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import bin_code
+from ..functions.bins import bin_code, coded_by_feature
 from ..functions.columns import EPSILON, col, month_rank, numeric
 from ..functions.quantiles import long_form, quantile_rows, quantiles
 
@@ -63,9 +63,7 @@ def psi(expected: DataFrame, actual: DataFrame, column: str, buckets: int = 10,
 
 def _pairs(long: DataFrame, features: Sequence[str], buckets: int, strategy: str, found: dict[str, list[float]]) -> DataFrame:
     """(feature, psi) of long (feature, side 0 expected or 1 actual, x)."""
-    table = long.sparkSession.createDataFrame([(f, inner_edges(found.get(f, []))) for f in features], "__f string, __edges array<double>")
-    coded = long.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
-    counts = coded.withColumn("bucket", F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("__edges", lambda e: e <= F.col("x")))))
+    counts = coded_by_feature(long, {f: inner_edges(found.get(f, [])) for f in features}, "bucket")
     if strategy == "exclude":
         counts = counts.where("bucket >= 0")
     counts = counts.groupBy("feature", "bucket").agg(F.count_if(F.col("side") == 0).alias("e"), F.count_if(F.col("side") == 1).alias("a"))

@@ -56,10 +56,8 @@ def batch_iv(df: DataFrame, features: Sequence[str], y: str, bins: int = 10) ->
         long = long_form(df.withColumn("__y", label(df, y)).where("__y is not null"), numbers, keep=["__y"])
         values = long.groupBy("feature", "x").agg(F.count("*").alias("total"), F.sum("__y").cast("long").alias("bad"))
         edges = _positions(values, bins, df.count())
-        table = df.sparkSession.createDataFrame([(f, edges.get(f)) for f in numbers], "__f string, __edges array<double>")
-        coded = values.join(F.broadcast(table), F.col("feature") == F.col("__f"))  # a row a feature, from the driver
-        code = F.when(F.col("__edges").isNull(), F.lit(0)).when(F.col("x").isNull(), F.lit(-1)).otherwise(F.size(F.filter("__edges", lambda e: e <= F.col("x"))))
-        binned = coded.withColumn("bin", code.cast("string")).groupBy("feature", "bin").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
+        coded = B.coded_by_feature(values, {f: edges.get(f) for f in numbers}, "bin")
+        binned = coded.withColumn("bin", F.col("bin").cast("string")).groupBy("feature", "bin").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
         parts.append(with_woe(binned.withColumn("good", F.col("total") - F.col("bad"))))
     texts = [f for f in features if f not in numbers]
     if texts:
@@ -77,9 +75,15 @@ def _positions(values: DataFrame, bins: int, rows: int) -> dict[str, list[float]
     own = values.where(F.col("x").isNotNull()).withColumn("one", F.lit(1))
     run = running_sums(own, ["feature"], "x", ["total", "one"], rows=rows)
     k = F.least(F.lit(bins), F.col("all_one"))
-    at = F.transform(F.sequence(F.lit(0), k), lambda i: F.bround((F.col("all_total") - 1) * i / k))
-    first, after = F.col("before_total"), F.col("before_total") + F.col("total")
-    near = run.where((F.col("all_one") > 1) & F.exists(at, lambda p: (p >= first) & (p < after))).select("feature", "x").collect()  # at most bins + 1 a feature
+    first, after, last = F.col("before_total"), F.col("before_total") + F.col("total"), F.col("all_total") - 1
+    # the first position from `first` on is of one of these numbers
+    near_i = F.floor(first * k / last)
+    hit = F.lit(False)
+    for step in (-1, 0, 1):
+        i = near_i + step
+        position = F.bround(last * i / k)
+        hit = hit | ((i >= 0) & (i <= k) & (position >= first) & (position < after))
+    near = run.where((F.col("all_one") > 1) & hit).select("feature", "x").collect()  # at most bins + 1 a feature
     found: dict[str, list[float]] = {}
     for r in near:
         found.setdefault(r["feature"], []).append(r["x"])

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scoreloom.functions import bins
 from scoreloom.functions import quantiles as Q
 from scoreloom.functions import running
 from scoreloom.functions.quantiles import long_form, quantile_rows
@@ -90,3 +91,24 @@ def test_weights_of_many_values(spark, frame, monkeypatch):
     a, b = (w.transform(df).groupBy("t", "g").count().toPandas().sort_values(["t", "g"]) for w in (want, got))
     assert np.allclose(a.t, b.t) and list(a["count"]) == list(b["count"])
     assert got.export() == want.export()
+
+
+def test_edges_in_plan_and_joined(spark, frame, monkeypatch):
+    long = long_form(spark.createDataFrame(frame.assign(x=frame.x.where(frame.index % 9 > 0))), ["x", "z", "w"])
+    edges = {"x": [-0.5, 0.2], "z": [], "w": None}
+    few = bins.coded_by_feature(long, edges, "b").groupBy("feature", "b").count().toPandas().sort_values(["feature", "b"], ignore_index=True)
+    monkeypatch.setattr(bins, "IN_PLAN", 0)
+    many = bins.coded_by_feature(long, edges, "b").groupBy("feature", "b").count().toPandas().sort_values(["feature", "b"], ignore_index=True)
+    assert few.equals(many) and list(few[few.feature == "x"].b) == [-1, 0, 1, 2] and list(few[few.feature == "w"].b) == [0]
+
+
+@pytest.mark.parametrize("n", [2, 3, 7, 10, 11, 12, 101, 1000])
+def test_positions_of_batch_iv(spark, n):
+    """Every position of every run of equal values, few and many of them."""
+    rng = np.random.default_rng(n)
+    for values in (np.arange(n), np.sort(rng.integers(0, max(2, n // 3), n)), np.r_[np.zeros(n - 1), 1.0]):
+        x, total = np.unique(values.astype(float), return_counts=True)
+        rows = spark.createDataFrame([("f", float(a), int(b)) for a, b in zip(x, total)], "feature string, x double, total long")
+        k = min(10, len(x))
+        want = sorted({float(values[round((n - 1) * i / k)]) for i in range(k + 1)})[1:-1]
+        assert woe._positions(rows, 10, n) == ({"f": want} if len(x) > 1 else {})
