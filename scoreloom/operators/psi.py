@@ -101,17 +101,19 @@ def _psi_groups(reference: DataFrame, data: DataFrame, column: str, groups: Sequ
         own = own if nan_strategy == "separate" else own.where("bucket >= 0")
         return own.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
 
-    low = -1 if nan_strategy == "separate" else 0
-    grid = data.sparkSession.range(low, buckets).select(F.col("id").cast("int").alias("bucket"))
-    expected = counted(reference, []).select(F.col("bucket").alias("__b"), F.col("n").alias("e"))
-    actual = counted(data, groups)
-    keys = data.select(*groups).distinct().crossJoin(F.broadcast(grid))
-    on = F.col("bucket") == F.col("__a")
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    named = actual.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("bucket").alias("__a"), F.col("n").alias("a"))
-    counts = keys.join(named, on, "left").join(F.broadcast(expected), F.col("bucket") == F.col("__b"), "left").select(*groups, "bucket", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("a", F.lit(0)).alias("a"))
-    return _psi(counts, groups, grid)
+    return _against(counted(reference, []).withColumnRenamed("n", "e"), counted(data, groups).withColumnRenamed("n", "a"), [], groups)
+
+
+def _against(expected: DataFrame, actual: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(keys..., by..., psi) from counts expected (keys..., bucket, e) and actual (keys..., by..., bucket, a). Buckets empty on both sides add nothing, so none are filled in."""
+    groups = actual.select(*keys, *by).distinct()
+    first = groups.join(expected, list(keys)) if keys else groups.crossJoin(expected)  # a dozen buckets
+    rows = first.select(*keys, *by, "bucket", "e", F.lit(0).cast("long").alias("a")).unionByName(actual.select(*keys, *by, "bucket", F.lit(0).cast("long").alias("e"), "a"))
+    cells = rows.groupBy(*keys, *by, "bucket").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    whole = Window.partitionBy(*keys, *by)
+    cells = cells.withColumn("te", F.sum("e").over(whole)).withColumn("ta", F.sum("a").over(whole))
+    part = divergence(F.col("e"), F.col("a"), F.col("te"), F.col("ta"))
+    return cells.groupBy(*keys, *by).agg(F.when((F.max("te") > 0) & (F.max("ta") > 0), F.sum(part)).alias("psi"))
 
 
 def psi_feature_groups(reference: DataFrame, data: DataFrame, features: Sequence[str], groups: Sequence[str] = (), rules: Mapping[str, Sequence[float]] | None = None, buckets: int = 10) -> DataFrame:
@@ -129,10 +131,7 @@ def psi_feature_groups(reference: DataFrame, data: DataFrame, features: Sequence
 
     expected = counted(reference, []).withColumnRenamed("n", "e")
     actual = counted(data, by).withColumnRenamed("n", "a")
-    grid = data.sparkSession.range(-1, max([buckets, *[len(e) + 1 for e in edges.values()]])).select(F.col("id").cast("int").alias("bucket"))
-    cells = actual.select("i", *by).distinct().crossJoin(F.broadcast(grid))  # a dozen buckets
-    cells = _with(_with(cells, expected, ["i", "bucket"]), actual, ["i", *by, "bucket"])
-    out = _psi(cells.select("i", *by, "bucket", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("a", F.lit(0)).alias("a")), ["i", *by], grid)
+    out = _against(expected, actual, ["i"], by)
     return out.select(F.get(F.array(*[F.lit(f) for f in features]), F.col("i")).alias("feature"), *[F.col(names[g]).alias(g) for g in shown], "psi")
 
 
